@@ -103,7 +103,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    return judge(docs, prefix="_quality_").where("_quality_kept").select(*docs.columns)
+    judged = judge(docs, prefix="_quality_")
+    # A verdict that is not deterministic to the optimiser stays above the counts:
+    # pushed below them, it would repeat their expressions for every word.
+    verdict = F.col("_quality_kept") & (F.monotonically_increasing_id() >= 0)
+    return judged.select(*docs.columns, verdict.alias("_quality_kept")).where("_quality_kept").select(*docs.columns)
 
 
 _W = r"[^\x20\x09-\x0D]+"

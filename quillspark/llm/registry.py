@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, quality, substring_dedup
+from . import decontaminate, ngram_join, packing, quality, substring_dedup
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
