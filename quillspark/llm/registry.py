@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, quality, substring_dedup
+from . import decontaminate, language, ngram_join, packing, quality, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_language": language.op6_language,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
