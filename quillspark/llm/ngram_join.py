@@ -11,10 +11,11 @@ whole sequence; none: empty, linked with nothing). Two documents link when
    is cut to a size that can be broadcast.
 3. ``groups``: the first order's prefixes are dealt by token; a token that only one
    class has leaves no row.
-4. Each group proposes its first member against the others (linear), the links
+4. Each group proposes its most central member against the others (linear), the links
    are contracted to components, and only pairs of members that are still in
    different components are proposed next, until none is left. All pairs are
    thus decided or already connected.
+   Sizes and the places of the common token bound what a pair can share.
 5. A proposed pair must share prefix tokens under every further order before its
    texts' sets are intersected.
 
@@ -39,8 +40,9 @@ ORDERS = (0, 1, 2)
 HOT = 20
 #: Frequent tokens that are broadcast at most (8 bytes each).
 HOT_LIMIT = 1_000_000
-#: Pairs proposed at once, per row of the groups, before another round of pivots.
-RESIDUAL = 4
+#: Pairs of members looked at in one join, per row of the groups; beyond that,
+#: another round of pivots comes first.
+RESIDUAL = 64
 PIVOT_ROUNDS = 40
 
 
@@ -54,12 +56,14 @@ def _signed(x) -> np.ndarray:
 
 
 def in_order(tokens: np.ndarray, seed: int, hot: np.ndarray, size: int) -> np.ndarray:
-    """The first size tokens under the order of this seed. tokens: distinct."""
+    """The first size tokens under the order of this seed, in that order. tokens:
+    distinct."""
     key = mix64(tokens, seed)
     if len(hot):
         late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
         key = (key >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-    return tokens[np.argpartition(key, size - 1)[:size]] if size < len(tokens) else tokens
+    first = np.argpartition(key, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+    return tokens[first[np.argsort(key[first])]]
 
 
 def sketch(docs: DataFrame, k: int = K) -> DataFrame:
@@ -83,9 +87,10 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) -> DataFrame:
     """Prefix tokens under the first order; a class that a task has met before
-    gives no further rows. tokens_only: (token); else (token, cls, doc, n)."""
+    gives no further rows. tokens_only: (token); else (token, cls, doc, n,
+    pos), pos being the place of the token in the order."""
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["token"] if tokens_only else ["token", "cls", "doc", "n"]
+    names = ["token"] if tokens_only else ["token", "cls", "doc", "n", "pos"]
 
     def run(batches):
         late, met = hot_sent.value, set()
@@ -104,10 +109,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
                 sizes = [len(x[0]) for x in out]
                 columns = [_signed(np.concatenate([x[0] for x in out]))]
                 if not tokens_only:
-                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes)]
+                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int")
+    return docs.mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int")
 
 
 def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarray:
@@ -120,10 +125,11 @@ def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarra
 
 
 def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(token, cls, doc, n): prefix tokens that two classes or more have, one row a
+    """(token, cls, doc, n, pos): prefix tokens that two classes or more have, one row a
     class. Dealt by token once; runs are found while streaming, never gathered."""
     dealt = _prefixes(docs, k, percent, hot, False).repartition("token").sortWithinPartitions("token", "cls", "doc")
-    names = ["token", "cls", "doc", "n"]
+    names = ["token", "cls", "doc", "n", "pos"]
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
 
     def shared(batches):
         held = None  # the last row of the batch before, if its token may go on
@@ -132,7 +138,7 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
             if not batch.num_rows:
                 continue
             t, c = (batch.column(i).to_numpy() for i in (0, 1))
-            rows = [batch.column(i).to_numpy() for i in range(4)]
+            rows = [batch.column(i).to_numpy() for i in range(5)]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             if held is not None:
@@ -147,11 +153,11 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
             keep = same[:-1] | same[1:]
             held, held_shared = [x[-1] for x in rows], bool(keep[-1])
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(ty)) for x, ty in zip(rows, (np.int64, np.int64, np.int64, np.int32), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(ty)) for x, ty in zip(rows, kinds, strict=True)], names)
         if held is not None and held_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([h], ty)) for h, ty in zip(held, (np.int64, np.int64, np.int64, np.int32), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([h], ty)) for h, ty in zip(held, kinds, strict=True)], names)
 
-    return dealt.mapInArrow(shared, "token long, cls long, doc long, n int")
+    return dealt.mapInArrow(shared, "token long, cls long, doc long, n int, pos int")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -189,8 +195,12 @@ def verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, k: int = K, perce
     return salted_by_pivot(pairs, docs).select("pivot", "_salt", "member", "text").mapInArrow(run, "u long, v long")
 
 
-def _fitting(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _fitting(a: str, i: str, b: str, j: str, percent: int):
+    """Whether sets of sizes a and b whose first common token has places i and j
+    can link. Other common tokens give a bound too low, but the first one does not,
+    and it is in both prefixes: no link is lost."""
+    bound = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * bound >= percent * (F.col(a) + F.col(b)))
 
 
 def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -201,25 +211,25 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
     hot = hot_tokens(docs, k, percent)
     classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # A class stands in its groups by any member; from here on by its smallest.
-    members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"))
-    rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n")).distinct())
+    members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos")
+    rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n"), "pos").distinct())
     size = rows.count()
     found = spark.createDataFrame([], "u long, v long")
     done = spark.createDataFrame([], "pivot long, member long")
     labelled = rows.withColumn("comp", F.col("rep"))
     for k_round in range(PIVOT_ROUNDS):
-        open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "n", "comp")).alias("first")).where("lo < hi")
+        open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "rep", "n", "comp")).alias("first")).where("lo < hi")
         if k_round:
             mixed = labelled.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             if not mixed:
                 break
         last = k_round and mixed <= max(RESIDUAL * size, 100_000)
         if last:
-            a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-            b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-            pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "n2", percent))
+            a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("comp").alias("c1"))
+            b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("pos").alias("i2"), F.col("comp").alias("c2"))
+            pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent))
         else:
-            pairs = labelled.join(open_groups.select("token", F.col("first.rep").alias("pivot"), F.col("first.n").alias("n1"), F.col("first.comp").alias("c1")), "token").where((F.col("rep") != F.col("pivot")) & (F.col("comp") != F.col("c1")) & _fitting("n1", "n", percent)).withColumnRenamed("rep", "member")
+            pairs = labelled.join(open_groups.select("token", F.col("first.rep").alias("pivot"), F.col("first.n").alias("n1"), F.col("first.pos").alias("i1"), F.col("first.comp").alias("c1")), "token").where((F.col("rep") != F.col("pivot")) & (F.col("comp") != F.col("c1")) & _fitting("n1", "i1", "n", "pos", percent)).withColumnRenamed("rep", "member")
         pairs = durable(pairs.select("pivot", "member").distinct().join(done, ["pivot", "member"], "left_anti"))
         found = durable(found.union(verify(pairs, docs, hot, k, percent)))
         if last:
@@ -230,9 +240,9 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
         rest = labelled.drop("comp").join(open_groups.select("token", F.col("first.rep").alias("_pivot")), "token").where("rep <> _pivot").drop("_pivot")
         labelled = durable(rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     else:
-        a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-        b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-        pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "n2", percent))
+        a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("comp").alias("c1"))
+        b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("pos").alias("i2"), F.col("comp").alias("c2"))
+        pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent))
         found = durable(found.union(verify(durable(pairs.select("pivot", "member").distinct()), docs, hot, k, percent)))
     return found
 
