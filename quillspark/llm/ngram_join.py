@@ -44,6 +44,8 @@ HOT_LIMIT = 1_000_000
 #: another round of pivots comes first.
 RESIDUAL = 64
 PIVOT_ROUNDS = 40
+#: Rounds of pivots before members meet each other.
+LEAST_ROUNDS = 2
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -55,12 +57,18 @@ def _signed(x) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _frequent(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(tokens), bool)
+    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+
+
 def in_order(tokens: np.ndarray, seed: int, hot: np.ndarray, size: int) -> np.ndarray:
     """The first size tokens under the order of this seed, in that order. tokens:
     distinct."""
     key = mix64(tokens, seed)
     if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        late = _frequent(tokens, hot)
         key = (key >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
     first = np.argpartition(key, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
     return tokens[first[np.argsort(key[first])]]
@@ -88,9 +96,10 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
 def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) -> DataFrame:
     """Prefix tokens under the first order; a class that a task has met before
     gives no further rows. tokens_only: (token); else (token, cls, doc, n,
-    pos), pos being the place of the token in the order."""
+    pos, own), pos being the place of the token in the order, own the document's
+    tokens that are not frequent."""
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["token"] if tokens_only else ["token", "cls", "doc", "n", "pos"]
+    names = ["token"] if tokens_only else ["token", "cls", "doc", "n", "pos", "own"]
 
     def run(batches):
         late, met = hot_sent.value, set()
@@ -103,16 +112,16 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
                     if not len(s) or (c := int(np.sum(s, dtype=np.uint64))) in met:
                         continue
                     met.add(c)
-                    out.append((in_order(s, ORDERS[0], late, prefix_length(len(s), percent)), c, ids[w.first + d], len(s)))
+                    out.append((in_order(s, ORDERS[0], late, prefix_length(len(s), percent)), c, ids[w.first + d], len(s), len(s) - _frequent(s, late).sum()))
                 if not out:
                     continue
                 sizes = [len(x[0]) for x in out]
                 columns = [_signed(np.concatenate([x[0] for x in out]))]
                 if not tokens_only:
-                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.repeat(np.array([x[4] for x in out], np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int")
+    return docs.mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int, own int")
 
 
 def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarray:
@@ -125,11 +134,11 @@ def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarra
 
 
 def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(token, cls, doc, n, pos): prefix tokens that two classes or more have, one row a
+    """(token, cls, doc, n, pos, own): prefix tokens that two classes or more have, one row a
     class. Dealt by token once; runs are found while streaming, never gathered."""
     dealt = _prefixes(docs, k, percent, hot, False).repartition("token").sortWithinPartitions("token", "cls", "doc")
-    names = ["token", "cls", "doc", "n", "pos"]
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+    names = ["token", "cls", "doc", "n", "pos", "own"]
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
 
     def shared(batches):
         held = None  # the last row of the batch before, if its token may go on
@@ -138,7 +147,7 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
             if not batch.num_rows:
                 continue
             t, c = (batch.column(i).to_numpy() for i in (0, 1))
-            rows = [batch.column(i).to_numpy() for i in range(5)]
+            rows = [batch.column(i).to_numpy() for i in range(6)]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             if held is not None:
@@ -157,7 +166,7 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
         if held is not None and held_shared:
             yield pa.RecordBatch.from_arrays([pa.array(np.array([h], ty)) for h, ty in zip(held, kinds, strict=True)], names)
 
-    return dealt.mapInArrow(shared, "token long, cls long, doc long, n int, pos int")
+    return dealt.mapInArrow(shared, "token long, cls long, doc long, n int, pos int, own int")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -211,19 +220,19 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
     hot = hot_tokens(docs, k, percent)
     classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # A class stands in its groups by any member; from here on by its smallest.
-    members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos")
-    rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n"), "pos").distinct())
+    members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
+    rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
     size = rows.count()
     found = spark.createDataFrame([], "u long, v long")
     done = spark.createDataFrame([], "pivot long, member long")
     labelled = rows.withColumn("comp", F.col("rep"))
     for k_round in range(PIVOT_ROUNDS):
-        open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "rep", "n", "comp")).alias("first")).where("lo < hi")
+        open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("apart", "rep", "n", "pos", "comp")).alias("first")).where("lo < hi")
         if k_round:
             mixed = labelled.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             if not mixed:
                 break
-        last = k_round and mixed <= max(RESIDUAL * size, 100_000)
+        last = k_round >= LEAST_ROUNDS and mixed <= max(RESIDUAL * size, 100_000)
         if last:
             a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("comp").alias("c1"))
             b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("pos").alias("i2"), F.col("comp").alias("c2"))

@@ -36,7 +36,7 @@ PERCENT = 80
 RECALL = 0.95
 HOT = 20
 HOT_LIMIT = 1_000_000
-RESIDUAL = 4
+RESIDUAL = 16
 PIVOT_ROUNDS = 12
 
 
