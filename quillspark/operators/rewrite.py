@@ -107,8 +107,8 @@ def strip_non_prose(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def reinsert(text: str, marks: str) -> Column:
-    # A formula's mark may stand inside nothing else, so any order restores all.
-    return F.aggregate(F.map_entries(marks), F.col(text), lambda t, e: F.replace(t, e.key, e.value))
+    # A later element may hold marks of earlier ones, so the last comes first.
+    return F.aggregate(F.reverse(F.map_entries(marks)), F.col(text), lambda t, e: F.replace(t, e.key, e.value))
 
 
 def clean_output(text: str, original: str) -> Column:
