@@ -71,7 +71,7 @@ def _bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray
     code = np.where(letter, code, _BLANK)
     keep = letter | cut
     keep[1:] |= letter[:-1]  # the first non-letter after a letter stands for a blank
-    keep[0] = True
+    keep[:1] = True
     code, doc = code[keep], doc[keep]
     n = len(texts)
     has = np.bincount(doc, code != _BLANK, n) > 0
@@ -83,7 +83,7 @@ def _bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray
     if not len(kept):
         return np.zeros((n, vectors.dimensions), np.float32), has
     counts = np.zeros((n, len(kept)), np.float32)
-    np.add.at(counts.ravel(), doc[:-2][same] * len(kept) + at, 1) if n == 1 else counts.ravel().__iadd__(np.bincount(doc[:-2][same] * len(kept) + at, minlength=n * len(kept)).astype(np.float32))
+    counts += np.bincount(doc[:-2][same] * len(kept) + at, minlength=n * len(kept)).reshape(n, -1)
     return counts @ vectors.grams(kept), has
 
 

@@ -36,6 +36,7 @@ LABELLED = tuple(
         "https://research.example/papers/1804.html https://www.school.example/en/timetable https://archive.example/fr/30211 https://help.editor.example/manual/shortcuts "
         "https://weather.example/es/forecast/madrid http://www.townhall.example/services/parking https://journal.example/issue/12/article-3 https://blog.kitchen.example/en/778/ "
         "https://science.example/de/9912.html https://opensource.example/project/readme https://maps.example/fr/region/alps https://m.stories.example/es/2511 "
+        "http://river.example.net/en/30412 https://blog.harbor.example.com/de/8123#top http://m.meadow.example.org/fr/2277.html https://www.lantern.example.net/es/19023?page=2 "
         "https://law.example/statutes/section-4 https://health.example/en/conditions/asthma https://www.choir.example/concerts https://static.handbook.example/en/44501"
     ).split()
 ) + tuple(
@@ -46,6 +47,8 @@ LABELLED = tuple(
         "http://secure-login-verify.example/account/password http://crypto-double.example/invest/bonus http://torrent-crack.example/download/keygen.exe https://porn-tube.example/video/xxx "
         "http://cheap-replica-watches.example/buy/discount http://click.adserver.example/redirect/offer http://payday-loan-fast.example/apply-now https://sex-shop-cams.example/free "
         "http://warez.example/serial/crack/download http://bet-win-slots.example/jackpot/bonus https://pills-pharmacy.example/cheap/order http://lottery-prize.example/claim/winner "
+        "http://spam-links.example.com/en/4012 https://ads-network.example.net/de/2291 http://track-pixel.example.org/fr/318.html http://m.casino-slots.example.com/es/991 "
+        "https://adult-videos.example.net/en/7710?page=2 http://www.cheap-meds.example.org/de/66 https://free-betting.example.com/fr/5120 http://link-farm.example.net/en/874#top "
         "http://popup-ads.example/click/win https://adult.example/xxx/free http://seo-links.example/buy/backlinks http://miracle-diet.example/buy-now/discount"
     ).split()
 )
