@@ -15,7 +15,8 @@ whole sequence; none: empty, linked with nothing). Two documents link when
    are contracted to components, and only pairs of members that are still in
    different components are proposed next, until none is left. All pairs are
    thus decided or already connected.
-   Sizes and the places of the common token bound what a pair can share.
+   Sizes, the places of the common token and parity sketches of the sets bound
+   what a pair can share; none of these bounds loses a link.
 5. A proposed pair must share prefix tokens under every further order before its
    texts' sets are intersected.
 
@@ -46,6 +47,8 @@ RESIDUAL = 64
 PIVOT_ROUNDS = 40
 #: Rounds of pivots before members meet each other.
 LEAST_ROUNDS = 2
+#: 64-bit words of a parity sketch.
+PARITY = 8
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -74,12 +77,19 @@ def in_order(tokens: np.ndarray, seed: int, hot: np.ndarray, size: int) -> np.nd
     return tokens[first[np.argsort(key[first])]]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit b: whether an odd number of the set's tokens fall on b. Sets whose
+    parities differ in h bits differ in h tokens at least."""
+    return np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def sketch(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): the size and a digest of each document's set."""
+    """(doc_id, n_shingles, d1, d2, parity): the size, a digest and the parity
+    sketch of each document's set."""
 
     def run(batches):
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, odd = [], [], [], []
             for w in text_blocks(batch.column(1), NON_SPACE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
@@ -87,10 +97,11 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
                     n.append(len(s))
                     d1.append(np.sum(s, dtype=np.uint64))
                     d2.append(np.bitwise_xor.reduce(mix64(s, 7)) if len(s) else np.uint64(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(d1, np.uint64))), pa.array(_signed(np.array(d2, np.uint64)))], ["doc_id", "n_shingles", "d1", "d2"])
+                    odd.append(np.frombuffer(parity(s), np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(d1, np.uint64))), pa.array(_signed(np.array(d2, np.uint64))), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "parity"])
 
     small_arrow(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, parity array<long>")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) -> DataFrame:
@@ -212,13 +223,32 @@ def _fitting(a: str, i: str, b: str, j: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * bound >= percent * (F.col(a) + F.col(b)))
 
 
+def _close(a: str, x: str, b: str, y: str, percent: int):
+    """Whether sets of sizes a and b with parities x and y can link: the bits that
+    differ are a lower bound of the tokens that only one set has. No parity (a
+    doc_id of several texts): they can."""
+    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITY)), F.lit(0))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(a) + F.col(b)), F.lit(True))
+
+
+def _members_meet(labelled: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """(pivot, member): the members of each group that are in different components
+    and can link, each with each."""
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    held = durable(labelled.join(mixed, "token").join(parities, "rep").select("token", "rep", "n", "pos", "comp", "parity"))
+    a, b = (held.select("token", F.col("rep").alias(who), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"i{i}"), F.col("comp").alias(f"c{i}"), F.col("parity").alias(f"x{i}")) for i, who in ((1, "pivot"), (2, "member")))
+    return a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent) & _close("n1", "x1", "n2", "x2", percent))
+
+
 def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(u, v) between class representatives, enough of them that their components
     are those of all links. docs: doc_id, text; sketched: durable sketch()."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     hot = hot_tokens(docs, k, percent)
-    classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "parity")).alias("least"))
+    classes = classes.select("d1", "d2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.parity").alias("parity"))
+    parities = classes.groupBy("rep").agg(F.count("*").alias("texts"), F.first("parity").alias("parity")).withColumn("parity", F.when(F.col("texts") == 1, F.col("parity"))).drop("texts")
     # A class stands in its groups by any member; from here on by its smallest.
     members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
     rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
@@ -234,9 +264,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
                 break
         last = k_round >= LEAST_ROUNDS and mixed <= max(RESIDUAL * size, 100_000)
         if last:
-            a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("comp").alias("c1"))
-            b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("pos").alias("i2"), F.col("comp").alias("c2"))
-            pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent))
+            pairs = _members_meet(labelled, parities, percent)
         else:
             pairs = labelled.join(open_groups.select("token", F.col("first.rep").alias("pivot"), F.col("first.n").alias("n1"), F.col("first.pos").alias("i1"), F.col("first.comp").alias("c1")), "token").where((F.col("rep") != F.col("pivot")) & (F.col("comp") != F.col("c1")) & _fitting("n1", "i1", "n", "pos", percent)).withColumnRenamed("rep", "member")
         pairs = durable(pairs.select("pivot", "member").distinct().join(done, ["pivot", "member"], "left_anti"))
@@ -249,9 +277,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
         rest = labelled.drop("comp").join(open_groups.select("token", F.col("first.rep").alias("_pivot")), "token").where("rep <> _pivot").drop("_pivot")
         labelled = durable(rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     else:
-        a = labelled.select("token", F.col("rep").alias("pivot"), F.col("n").alias("n1"), F.col("pos").alias("i1"), F.col("comp").alias("c1"))
-        b = labelled.select("token", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("pos").alias("i2"), F.col("comp").alias("c2"))
-        pairs = a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent))
+        pairs = _members_meet(labelled, parities, percent)
         found = durable(found.union(verify(durable(pairs.select("pivot", "member").distinct()), docs, hot, k, percent)))
     return found
 

@@ -248,6 +248,16 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch, hot, residual):
     assert got == _brute(texts)
 
 
+def test_parity_is_a_lower_bound():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = (np.unique(r.integers(0, 1 << 63, r.integers(0, 900)).astype(np.uint64)) for _ in range(2))
+        both = np.unique(r.integers(0, 1 << 63, r.integers(0, 900)).astype(np.uint64))
+        x, y = np.union1d(x, both), np.union1d(y, both)
+        a, b = (np.unpackbits(np.frombuffer(ngram_join.parity(s), np.uint8)) for s in (x, y))
+        assert len(a) == 64 * ngram_join.PARITY and (a != b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_edges(spark, odd, empty):
     rows = ngram_join.similarity_classes(odd).collect()
     assert len(rows) == odd.count()
