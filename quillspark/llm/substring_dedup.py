@@ -5,11 +5,14 @@ found inside a line as well as on its own. Its set is its 5-word shingles; a ban
 is one MinHash value (``tune_bands`` gives how many bands a recall needs). The
 MinHash of neighbouring paragraphs rarely changes, so only its changes are kept:
 about 2 rows in 47 words and band. Shingles that are the MinHash of many places
-go to the end of the order, so that a common line does not stand for the rare
+in any band go to the end of every order with those next to them, so that a common line does not stand for the rare
 text around it; this changes which rows collide, never what is verified.
 
-Colliding paragraphs meet by group: the first member of a group is compared with
-all others, then what it did not match is compared with the rest. Two paragraphs
+Places of one key with the same words around them, as far as any paragraph
+reaches, are one class: its members are compared with its first one only. First
+members meet by key: the first of a key is compared with all others, then what it
+did not match with the rest. Places that cannot be in a common paragraph by the
+shingles around them (``_near``) are told apart before any text moves. Two paragraphs
 match when the Jaccard similarity of their shingle sets is ``percent`` at least;
 along one alignment equal positions are counted, and where that fails the sets
 are intersected. Matched documents are clustered by connected components.
@@ -36,8 +39,13 @@ PERCENT = 80
 RECALL = 0.95
 HOT = 20
 HOT_LIMIT = 1_000_000
-RESIDUAL = 16
+#: Pairs of places looked at in one join, per row; beyond that, another pivot first.
+RESIDUAL = 4
 PIVOT_ROUNDS = 12
+#: Shingles from one place to the next of those that stand for what is around it.
+STEP = 5
+#: As many on each side, of 7 bits.
+BESIDE = 9
 
 
 def tune_bands(percent: int = PERCENT, recall: float = RECALL) -> int:
@@ -46,8 +54,22 @@ def tune_bands(percent: int = PERCENT, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
 
 
-def _anchors(w, grams, seed: int, hot: np.ndarray, size: int, k: int):
-    """(document, first word, key) where a paragraph's MinHash is, without repeats."""
+def _frequent(w, grams, hot: np.ndarray, k: int):
+    """Shingles in hot and up to k - 1 places from one, within a document: a common
+    line would else go on to stand for what is around it by its other shingles."""
+    if not len(hot) or not len(grams):
+        return None
+    late = np.zeros(len(grams) + 2 * k - 2, bool)
+    late[k - 1 : len(grams) + k - 1] = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+    for end in w.at[1:].tolist():  # shingles that run over into the next document
+        late[max(0, end - k + 1) + k - 1 : end + k - 1] = False
+    return np.lib.stride_tricks.sliding_window_view(late, 2 * k - 1).any(axis=1)
+
+
+def _anchors(w, grams, seed: int, late: np.ndarray | None, size: int, k: int):
+    """(document, first word, key, hash of all around it, the shingles every STEP
+    words before and after it, 7 bits each) where a paragraph's MinHash is, without
+    repeats. A shingle past the text is 0."""
     span = size - k + 1
     n = len(grams)
     if n < span:
@@ -56,8 +78,7 @@ def _anchors(w, grams, seed: int, hot: np.ndarray, size: int, k: int):
     low = np.uint64((1 << bits) - 1)
     keys = mix64(grams, seed)
     order = keys
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+    if late is not None:
         order = (keys >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
     order = (order & ~low) | np.arange(n, dtype=np.uint64)
     # Sliding minimum: running minima of blocks, forwards and backwards.
@@ -76,30 +97,48 @@ def _anchors(w, grams, seed: int, hot: np.ndarray, size: int, k: int):
     at = (least[first] & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], at[new] - w.at[doc[new]], keys[at[new]]
+    doc, at = doc[new], at[new]
+    begin, end = w.at[doc], w.at[doc + 1] - k + 1
+    lo, hi = np.maximum(at - span + 1, begin), np.minimum(at + span, end)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(keys, out=sums[1:])
+    around = mix64((sums[hi] - sums[lo]) ^ (((at - lo) << 32) + hi - at).astype(np.uint64))
+    near = []
+    for way in (-STEP, STEP):
+        packed = np.zeros(len(at), np.uint64)
+        for i in range(BESIDE):
+            there = at + way * (i + 1)
+            inside = (there >= begin) & (there < end)
+            bits = np.maximum(grams[np.where(inside, there, at)] & np.uint64(127), np.uint64(1))
+            packed |= np.where(inside, bits, np.uint64(0)) << np.uint64(7 * i)
+        near.append(packed)
+    return doc, at - begin, keys[at], around, *near
 
 
 def anchors(docs: DataFrame, hot: np.ndarray, bands: int, keys_only: bool = False, size: int = PARAGRAPH, k: int = K) -> DataFrame:
-    """(key, doc, pos) for every band; keys of different bands differ by their seed."""
+    """(key, doc, pos, around, before, after) for every band; keys of different bands
+    differ by their seed. keys_only: (key), the shingles themselves."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        late = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in text_blocks(batch.column(1), NON_SPACE):
                 grams = w.grams(k)
+                late = _frequent(w, grams, sent.value, k)
                 for seed in range(bands):
                     if (got := _anchors(w, grams, 100 + seed, late, size, k)) is None:
                         continue
-                    doc, pos, key = got
+                    doc, pos, key, *rest = got
+                    if keys_only:
+                        key = grams[w.at[doc] + pos]
                     columns = [pa.array(key.view(np.int64))]
                     if not keys_only:
-                        columns += [pa.array(ids[w.first + doc].astype(np.int64)), pa.array(pos.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key"] if keys_only else ["key", "doc", "pos"])
+                        columns += [pa.array(ids[w.first + doc].astype(np.int64)), pa.array(pos.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in rest]]
+                    yield pa.RecordBatch.from_arrays(columns, ["key"] if keys_only else ["key", "doc", "pos", "around", "before", "after"])
 
     small_arrow(docs.sparkSession)
-    return docs.mapInArrow(run, "key long" if keys_only else "key long, doc long, pos int")
+    return docs.mapInArrow(run, "key long" if keys_only else "key long, doc long, pos int, around long, before long, after long")
 
 
 def hot_keys(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) -> np.ndarray:
@@ -194,42 +233,90 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K,
     return salted_by_pivot(pairs, docs).select("pivot", "_salt", "member", "text", "at").mapInArrow(run, _OUT)
 
 
+def _near(x: str, y: str, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT):
+    """Whether the places x and y (prefixes of columns) can be in a paragraph of both,
+    by the shingles beside them (bit BESIDE of ``same`` is the place itself). A
+    paragraph holds ``held`` or more of them. A word that differs changes one of them
+    at most (k <= STEP), and as many words may differ as the threshold lets shingles
+    be missing. An inserted word shifts those beyond it: then the side with the place
+    must be the longer one, or another place stands for the paragraph."""
+    span = size - k + 1
+    held = min(span // STEP, BESIDE + 1)
+    missing = -(-(span - -(-2 * span * percent // (100 + percent))) // k)
+    run = max(1, span // 2 // STEP)
+    same = F.lit(1 << BESIDE)
+    for way, c in ((-1, "before"), (1, "after")):
+        differ = F.col(x + c).bitwiseXOR(F.col(y + c))
+        for i in range(BESIDE):
+            same = same + F.when(F.shiftrightunsigned(differ, 7 * i).bitwiseAND(127) == 0, 1 << (BESIDE + way * (i + 1))).otherwise(0)
+
+    def judge(bits):
+        def within(n, least):
+            counts = [F.bit_count(F.shiftright(bits, at).bitwiseAND((1 << n) - 1)) >= least for at in range(BESIDE - n + 1, BESIDE + 1)]
+            return F.greatest(*counts) if len(counts) > 1 else counts[0]
+
+        return within(held, held - missing) | within(run, run)
+
+    # The lambda has the bits computed once.
+    return F.exists(F.array(same), judge)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """found: key, x_doc, x_pos, y_doc, y_pos. The earlier document is the pivot."""
+    swap = F.col("x_doc") > F.col("y_doc")
+    side = lambda c, d: F.when(swap, F.col(c)).otherwise(F.col(d))
+    return found.select("key", side("y_doc", "x_doc").alias("pivot"), side("y_pos", "x_pos").alias("p"), side("x_doc", "y_doc").alias("member"), side("x_pos", "y_pos").alias("q"))
+
+
 def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """verify()'s rows with a match. docs: doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bands = tune_bands(percent, recall)
     hot = hot_keys(docs, bands, size, k)
+    place = ["doc", "pos", "before", "after"]
+    as_side = lambda df, side, *more: df.select("key", *[F.col(c).alias(f"{side}_{c}") for c in (*place, *more)])
+    near = _near("x_", "y_", size, k, percent)
+
+    def compare(todo):
+        return durable(verify(todo.groupBy("pivot", "member").agg(F.collect_list(F.struct("key", "p", "q")).alias("at")), docs, size, k, percent))
+
     # One place a document and key stands for the key; others of that document
     # are found along the same alignment, or by their own keys.
-    dealt = anchors(docs, hot, bands, size=size, k=k).groupBy("key", "doc").agg(F.min("pos").alias("pos"))
-    ends = dealt.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("hi")).where("first.doc < hi")
-    rows = durable(dealt.join(ends, "key").select("key", "doc", "pos", F.col("first.doc").alias("p_doc"), F.col("first.pos").alias("p")))
-    found, size_rows = None, rows.count()
-    todo = rows.where("doc <> p_doc").select("key", F.col("p_doc").alias("pivot"), "p", F.col("doc").alias("member"), F.col("pos").alias("q"))
-    rest = rows.where("doc <> p_doc").select("key", "doc", "pos")
+    dealt = anchors(docs, hot, bands, size=size, k=k).groupBy("key", "doc").agg(F.min(F.struct("pos", "around", "before", "after")).alias("at")).select("key", "doc", "at.*")
+    shared = dealt.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    rows = durable(dealt.join(shared, "key"))
+    size_rows = rows.count()
+    classes = rows.groupBy("key", "around").agg(F.min(F.struct(*place)).alias("at")).select("key", "around", "at.*")
+    classes = durable(classes)
+    alike = as_side(classes, "x", "around").join(as_side(rows, "y", "around"), "key").where("x_around = y_around and x_doc <> y_doc")
+    # The first of a key against all other classes; those it cannot match stay open.
+    firsts = classes.groupBy("key").agg(F.min(F.struct(*place)).alias("at"), F.count("*").alias("n")).where("n > 1").select("key", "at.*")
+    met = durable(as_side(firsts, "x").join(as_side(classes, "y"), "key").where("x_doc <> y_doc").withColumn("near", near))
+    found = compare(_pairs(alike).union(_pairs(met.where("near"))))
+    failed = found.select(F.explode("failed").alias("key"), F.col("member").alias("y_doc")).distinct()
+    rest = met.join(failed.withColumn("failed", F.lit(True)), ["key", "y_doc"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("failed").isNotNull() | ~F.col("near")).alias("open"))
+    rest = durable(rest)
     for k_round in range(PIVOT_ROUNDS + 1):
-        pairs = todo.groupBy("pivot", "member").agg(F.collect_list(F.struct("key", "p", "q")).alias("at"))
-        got = durable(verify(pairs, docs, size, k, percent))
-        found = got if found is None else found.union(got)
-        failed = durable(got.select(F.explode("failed").alias("key"), F.col("member").alias("doc")))
-        open_rows = rest.join(failed.withColumn("open", F.lit(True)).distinct(), ["key", "doc"], "left")
-        sizes = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.count("open").alias("o"), F.min(F.when(F.col("open"), F.struct("doc", "pos"))).alias("first")).where("o > 0 and n > 1")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("o"), F.min(F.when(F.col("open"), F.struct(*place))).alias("at")).where("o > 0 and n > 1")
         sizes = durable(sizes)
         left = sizes.agg(F.sum(F.col("n") * F.col("o"))).first()[0] or 0
-        if not left or k_round > PIVOT_ROUNDS - 1:
+        if not left:
             break
-        if left <= max(RESIDUAL * size_rows, 100_000) or k_round == PIVOT_ROUNDS - 1:
-            held = durable(open_rows.join(sizes.select("key"), "key"))
-            a = held.where("open").select("key", F.col("doc").alias("x"), F.col("pos").alias("i"))
-            b = held.select("key", F.col("doc").alias("y"), F.col("pos").alias("j"), "open")
-            both = a.join(b, "key").where("x <> y and (open is null or x < y)")
-            todo = both.select("key", F.least("x", "y").alias("pivot"), F.when(F.col("x") < F.col("y"), F.col("i")).otherwise(F.col("j")).alias("p"), F.greatest("x", "y").alias("member"), F.when(F.col("x") < F.col("y"), F.col("j")).otherwise(F.col("i")).alias("q"))
-            pairs = todo.groupBy("pivot", "member").agg(F.collect_list(F.struct("key", "p", "q")).alias("at"))
-            found = found.union(durable(verify(pairs, docs, size, k, percent)))
+        rest = rest.join(sizes.select("key"), "key")
+        if left <= max(RESIDUAL * size_rows, 100_000) or k_round == PIVOT_ROUNDS:
+            both = as_side(rest.where("open"), "x").join(as_side(rest, "y", "open"), "key").where(F.expr("x_doc <> y_doc and (not y_open or x_doc < y_doc)") & near)
+            found = found.union(compare(_pairs(both)))
             break
-        rest = durable(rest.join(sizes.select("key", F.col("first.doc").alias("f"), F.col("first.pos").alias("fp")), "key"))
-        todo = rest.where("doc <> f").select("key", F.least("f", "doc").alias("pivot"), F.when(F.col("f") < F.col("doc"), F.col("fp")).otherwise(F.col("pos")).alias("p"), F.greatest("f", "doc").alias("member"), F.when(F.col("f") < F.col("doc"), F.col("pos")).otherwise(F.col("fp")).alias("q"))
-        rest = rest.where("doc <> f").select("key", "doc", "pos")
+        firsts = sizes.select("key", "at.*")
+        met = durable(as_side(firsts, "x").join(as_side(rest, "y", "open"), "key").where("x_doc <> y_doc").withColumn("near", near))
+        got = compare(_pairs(met.where("near")))
+        # What the pivot matches is decided for it, not for the others that are open.
+        matched = met.where("near and y_open").select("key", "x_doc", "y_doc")
+        failed = got.select(F.explode("failed").alias("key"), F.col("pivot").alias("a"), F.col("member").alias("b"))
+        failed = failed.select("key", F.col("a").alias("x_doc"), F.col("b").alias("y_doc")).union(failed.select("key", F.col("b").alias("x_doc"), F.col("a").alias("y_doc")))
+        matched = matched.join(failed.distinct(), ["key", "x_doc", "y_doc"], "left_anti").select("key", "y_doc", F.lit(True).alias("matched"))
+        found = found.union(got)
+        rest = durable(met.join(matched, ["key", "y_doc"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("y_open") & F.col("matched").isNull()).alias("open")))
     return found.where("size(theirs) > 0")
 
 
