@@ -9,7 +9,9 @@ in any band go to the end of every order with those next to them, so that a comm
 text around it; this changes which rows collide, never what is verified.
 
 Places of one key with the same words around them, as far as any paragraph
-reaches, are one class: its members are compared with its first one only. First
+reaches, are one class: its members are compared with its first one only, and one
+place a document stands for those of its own in the class. A pair is tested at all
+places that its shingle has in the two documents, so each copy is found. First
 members meet by key: the first of a key is compared with all others, then what it
 did not match with the rest. Places that cannot be in a common paragraph by the
 shingles around them (``_near``) are told apart before any text moves. Two paragraphs
@@ -148,14 +150,37 @@ def hot_keys(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) ->
     return np.sort(np.array([r.key for r in counted.select("key").toLocalIterator()], np.int64).view(np.uint64))
 
 
+def _shifts(own, other, pairs, x, y):
+    """Alignments of all pairs of places with one shingle. x, y: the number of the
+    shingle in pairs at each place of own and other, -1 for none."""
+    shift = np.unique(pairs[:, 1] - pairs[:, 0])
+    at, there = np.flatnonzero(x >= 0), np.flatnonzero(y >= 0)
+    if max(len(at), len(there)) == x.max(initial=-1) + 1:
+        return shift
+    there = there[np.argsort(y[there], kind="stable")]
+    lo, hi = (np.searchsorted(y[there], x[at], side) for side in ("left", "right"))
+    seen = np.zeros(len(own) + len(other), bool)
+    for p, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        seen[there[i:j] - p + len(own)] = True
+    return np.flatnonzero(seen) - len(own)
+
+
+def _numbers(grams, s):
+    """Index in grams (sorted) of each of s, -1 for none."""
+    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+    return np.where(grams[at] == s, at, -1)
+
+
 def _match(own, other, pairs, size: int, k: int, percent: int):
     """own, other: shingles in order of two documents; pairs: (pos in own, pos in
     other). Words matched of each (boolean), and whether each pair matched."""
     span = size - k + 1
     need = -(-2 * span * percent // (100 + percent))
     mine, theirs = np.zeros(len(own) + k - 1, bool), np.zeros(len(other) + k - 1, bool)
-    shift = pairs[:, 1] - pairs[:, 0]
-    for s in np.unique(shift):
+    # Every place of the pairs' shingles, not only the one that stands for them.
+    grams = np.unique(own[pairs[:, 0]])
+    shift = _shifts(own, other, pairs, _numbers(grams, own), _numbers(grams, other))
+    for s in shift:
         a, b = max(0, -s), min(len(own), len(other) - s)
         if b - a < span:
             continue
@@ -197,13 +222,14 @@ def _spans(mask):
     return [[a, b + 1] for a, b in _runs(np.flatnonzero(mask))]
 
 
-_OUT = "pivot long, member long, mine array<array<int>>, theirs array<array<int>>, theirs_bytes array<array<int>>, failed array<long>"
+_OUT = "pivot long, member long, mine array<array<int>>, theirs array<array<int>>, theirs_bytes array<array<int>>, failed array<struct<key: bigint, p: int, q: int>>"
 _INTS = pa.list_(pa.list_(pa.int32()))
+_FAILED = pa.list_(pa.struct([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32())]))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT) -> DataFrame:
     """pairs: pivot, member, at (array of struct key, p, q). Word spans that match
-    in each, byte spans of the member's, and keys of the pairs that do not match."""
+    in each, byte spans of the member's, and the pairs that do not match."""
 
     def run(batches):
         pivot, own = None, None
@@ -225,10 +251,11 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K,
                     found = at[i].values
                     keys, places = found.field("key").to_numpy(), np.stack([found.field(c).to_numpy() for c in ("p", "q")], axis=1).astype(np.int64)
                     mine, theirs, ok = _match(own, s, places, size, k, percent)
+                    failed = [{"key": x, "p": y, "q": z} for x, (y, z) in zip(keys[~ok].tolist(), places[~ok].tolist(), strict=True)]
                     spans, o, f = _spans(theirs), int(w.offsets[d]), int(w.at[d])
-                    for x, v in zip(out, (p[i], m[i], _spans(mine), spans, [[int(w.start[f + a]) - o, int(w.end[f + b - 1]) - o] for a, b in spans], np.unique(keys[~ok]).tolist()), strict=True):
+                    for x, v in zip(out, (p[i], m[i], _spans(mine), spans, [[int(w.start[f + a]) - o, int(w.end[f + b - 1]) - o] for a, b in spans], failed), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), _INTS, _INTS, _INTS, pa.list_(pa.int64())), strict=True)], ["pivot", "member", "mine", "theirs", "theirs_bytes", "failed"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), _INTS, _INTS, _INTS, _FAILED), strict=True)], ["pivot", "member", "mine", "theirs", "theirs_bytes", "failed"])
 
     return salted_by_pivot(pairs, docs).select("pivot", "_salt", "member", "text", "at").mapInArrow(run, _OUT)
 
@@ -280,24 +307,26 @@ def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = P
     def compare(todo):
         return durable(verify(todo.groupBy("pivot", "member").agg(F.collect_list(F.struct("key", "p", "q")).alias("at")), docs, size, k, percent))
 
-    # One place a document and key stands for the key; others of that document
-    # are found along the same alignment, or by their own keys.
-    dealt = anchors(docs, hot, bands, size=size, k=k).groupBy("key", "doc").agg(F.min(F.struct("pos", "around", "before", "after")).alias("at")).select("key", "doc", "at.*")
+    # Of places of a document with the same surroundings one stands for all: verify
+    # tests every place of its shingle. Other surroundings are rows of their own.
+    dealt = anchors(docs, hot, bands, size=size, k=k).groupBy("key", "doc", "around").agg(F.min(F.struct("pos", "before", "after")).alias("at")).select("key", "doc", "around", "at.*")
     shared = dealt.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     rows = durable(dealt.join(shared, "key"))
     size_rows = rows.count()
     classes = rows.groupBy("key", "around").agg(F.min(F.struct(*place)).alias("at")).select("key", "around", "at.*")
     classes = durable(classes)
     alike = as_side(classes, "x", "around").join(as_side(rows, "y", "around"), "key").where("x_around = y_around and x_doc <> y_doc")
-    # The first of a key against all other classes; those it cannot match stay open.
-    firsts = classes.groupBy("key").agg(F.min(F.struct(*place)).alias("at"), F.count("*").alias("n")).where("n > 1").select("key", "at.*")
-    met = durable(as_side(firsts, "x").join(as_side(classes, "y"), "key").where("x_doc <> y_doc").withColumn("near", near))
+    # The first of a key against all other classes; those it cannot match stay open,
+    # and so do the other places of its own document.
+    others, near = "x_doc <> y_doc or x_pos <> y_pos", (F.col("x_doc") != F.col("y_doc")) & near
+    firsts = classes.groupBy("key").agg(F.min(F.struct(*place)).alias("at"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "at.*")
+    met = durable(as_side(firsts, "x").join(as_side(classes, "y"), "key").where(others).withColumn("near", near))
     found = compare(_pairs(alike).union(_pairs(met.where("near"))))
-    failed = found.select(F.explode("failed").alias("key"), F.col("member").alias("y_doc")).distinct()
-    rest = met.join(failed.withColumn("failed", F.lit(True)), ["key", "y_doc"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("failed").isNotNull() | ~F.col("near")).alias("open"))
+    failed = found.select(F.explode("failed").alias("f"), F.col("member").alias("y_doc")).select(F.col("f.key").alias("key"), "y_doc", F.col("f.q").alias("y_pos")).distinct()
+    rest = met.join(failed.withColumn("failed", F.lit(True)), ["key", "y_doc", "y_pos"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("failed").isNotNull() | ~F.col("near")).alias("open"))
     rest = durable(rest)
     for k_round in range(PIVOT_ROUNDS + 1):
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("o"), F.min(F.when(F.col("open"), F.struct(*place))).alias("at")).where("o > 0 and n > 1")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("o"), F.min(F.when(F.col("open"), F.struct(*place))).alias("at"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("o > 0 and lo < hi")
         sizes = durable(sizes)
         left = sizes.agg(F.sum(F.col("n") * F.col("o"))).first()[0] or 0
         if not left:
@@ -308,15 +337,16 @@ def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = P
             found = found.union(compare(_pairs(both)))
             break
         firsts = sizes.select("key", "at.*")
-        met = durable(as_side(firsts, "x").join(as_side(rest, "y", "open"), "key").where("x_doc <> y_doc").withColumn("near", near))
+        met = durable(as_side(firsts, "x").join(as_side(rest, "y", "open"), "key").where(others).withColumn("near", near))
         got = compare(_pairs(met.where("near")))
         # What the pivot matches is decided for it, not for the others that are open.
-        matched = met.where("near and y_open").select("key", "x_doc", "y_doc")
-        failed = got.select(F.explode("failed").alias("key"), F.col("pivot").alias("a"), F.col("member").alias("b"))
-        failed = failed.select("key", F.col("a").alias("x_doc"), F.col("b").alias("y_doc")).union(failed.select("key", F.col("b").alias("x_doc"), F.col("a").alias("y_doc")))
-        matched = matched.join(failed.distinct(), ["key", "x_doc", "y_doc"], "left_anti").select("key", "y_doc", F.lit(True).alias("matched"))
+        matched = met.where("near and y_open").select("key", "x_doc", "x_pos", "y_doc", "y_pos")
+        failed = got.select(F.explode("failed").alias("f"), F.col("pivot").alias("a"), F.col("member").alias("b"))
+        sides = lambda x, p, y, q: failed.select(F.col("f.key").alias("key"), F.col(x).alias("x_doc"), F.col(p).alias("x_pos"), F.col(y).alias("y_doc"), F.col(q).alias("y_pos"))  # noqa: B023, E731
+        failed = sides("a", "f.p", "b", "f.q").union(sides("b", "f.q", "a", "f.p"))
+        matched = matched.join(failed.distinct(), ["key", "x_doc", "x_pos", "y_doc", "y_pos"], "left_anti").select("key", "y_doc", "y_pos", F.lit(True).alias("matched"))
         found = found.union(got)
-        rest = durable(met.join(matched, ["key", "y_doc"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("y_open") & F.col("matched").isNull()).alias("open")))
+        rest = durable(met.join(matched, ["key", "y_doc", "y_pos"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("y_open") & F.col("matched").isNull()).alias("open")))
     return found.where("size(theirs) > 0")
 
 

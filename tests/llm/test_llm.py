@@ -217,6 +217,30 @@ def test_substring_edges(spark, odd, empty):
     assert substring_dedup.remove(empty).count() == 0
 
 
+def test_substring_finds_every_copy_in_a_document(spark):
+    r, texts, copies = random.Random(5), {}, {}
+    for i in range(60):
+        passage = words(r, r.randrange(60, 200), 10**6).split()
+        a = [words(r, 40, 10**6), " ".join(passage), words(r, 40, 10**6)]
+        b = [words(r, 40, 10**6), " ".join(passage), words(r, 70, 10**6), " ".join(passage), words(r, 30, 10**6)]
+        if i % 2:  # its shingles in other surroundings first
+            b[:2] = [words(r, 3, 10**6).join(["", *(" " + " ".join(passage[k : k + 5]) + " " for k in range(0, len(passage) - 4, 5)), ""])]
+        texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(b)
+        n, w = len(passage), texts[2 * i + 1].split()
+        copies[2 * i + 1] = [[k, k + n] for k in range(len(w) - n + 1) if w[k : k + n] == passage]
+    got = {x.doc_id: x.removed for x in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(map(len, copies.values())) == 90
+    assert [(i, c) for i, cs in copies.items() for c in cs if not any(a <= c[0] and c[1] <= b for a, b in got.get(i, []))] == []
+
+
+def test_substring_alignments_of_all_places():
+    own, other = (np.array(x, np.uint64) for x in ([1, 2, 3, 2, 9], [2, 7, 2, 3, 2]))
+    pairs = np.array([[1, 0], [2, 3]])
+    grams = np.unique(own[pairs[:, 0]])
+    got = substring_dedup._shifts(own, other, pairs, substring_dedup._numbers(grams, own), substring_dedup._numbers(grams, other))
+    assert got.tolist() == [-3, -1, 1, 3]
+
+
 def _brute(texts):
     sets = {}
     for i, t in texts.items():
