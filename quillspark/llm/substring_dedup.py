@@ -16,8 +16,8 @@ members meet by key: the first of a key is compared with all others, then what i
 did not match with the rest. Places that cannot be in a common paragraph by the
 shingles around them (``_near``) are told apart before any text moves. Two paragraphs
 match when the Jaccard similarity of their shingle sets is ``percent`` at least;
-along one alignment equal positions are counted, and where that fails the sets
-are intersected. Matched documents are clustered by connected components.
+along one alignment equal positions are counted, and where that fails the sets of
+every paragraph around a place are intersected. Matched documents are clustered by connected components.
 
 In each match the later document's words are the repeat; a passage thus stays in
 the first document that has it. Edge cases: null, empty and short texts (under
@@ -171,42 +171,55 @@ def _numbers(grams, s):
     return np.where(grams[at] == s, at, -1)
 
 
+def _jaccard(x, y, span: int, percent: int):
+    """Whether the sets of x[i : i + span] and y[i : i + span] match, for every i."""
+    ids = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+
+    def has(i):
+        sums = np.zeros((len(i) + 1, ids.max() + 1), np.int32)
+        sums[np.arange(1, len(i) + 1), i] = 1
+        np.cumsum(sums, axis=0, out=sums)
+        return sums[span:] != sums[:-span]
+
+    a, b = has(ids[: len(x)]), has(ids[len(x) :])
+    return 100 * (a & b).sum(axis=1) >= percent * (a | b).sum(axis=1)
+
+
 def _match(own, other, pairs, size: int, k: int, percent: int):
     """own, other: shingles in order of two documents; pairs: (pos in own, pos in
     other). Words matched of each (boolean), and whether each pair matched."""
     span = size - k + 1
     need = -(-2 * span * percent // (100 + percent))
     mine, theirs = np.zeros(len(own) + k - 1, bool), np.zeros(len(other) + k - 1, bool)
+    ok = np.zeros(len(pairs), bool)
     # Every place of the pairs' shingles, not only the one that stands for them.
     grams = np.unique(own[pairs[:, 0]])
-    shift = _shifts(own, other, pairs, _numbers(grams, own), _numbers(grams, other))
-    for s in shift:
+    x, y = _numbers(grams, own), _numbers(grams, other)
+    given = pairs[:, 1] - pairs[:, 0]
+    for s in _shifts(own, other, pairs, x, y):
         a, b = max(0, -s), min(len(own), len(other) - s)
         if b - a < span:
             continue
-        sums = np.zeros(b - a + 1, np.int32)
-        np.cumsum(own[a:b] == other[a + s : b + s], out=sums[1:])
-        good = np.flatnonzero(sums[span:] - sums[:-span] >= need)
-        for i in _runs(good):
+        same = own[a:b] == other[a + s : b + s]
+        sums = np.zeros((2, b - a + 1), np.int32)
+        np.cumsum(same, out=sums[0, 1:])
+        np.cumsum(same & (x[a:b] >= 0), out=sums[1, 1:])
+        equal, places = sums[:, span:] - sums[:, :-span]
+        good = equal >= need
+        # The other paragraphs with a place, span at a time.
+        for i, j in _runs(np.flatnonzero((places > 0) & ~good)):
+            for at in range(i, j + 1, span):
+                end = min(at + span, j + 1)
+                good[at:end] = _jaccard(own[a + at : a + end + span - 1], other[a + s + at : a + s + end + span - 1], span, percent)
+        for i in _runs(np.flatnonzero(good)):
             mine[a + i[0] : a + i[1] + size] = True
             theirs[a + s + i[0] : a + s + i[1] + size] = True
-    ok = theirs[pairs[:, 1]] & mine[pairs[:, 0]]
-    for i in np.flatnonzero(~ok):
-        p, q = pairs[i]
-        if theirs[q] and mine[p]:
-            ok[i] = True
-            continue
-        for back in range(0, span, max(1, span // 4)):
-            a, b = p - back, q - back
-            if a < 0 or b < 0 or a + span > len(own) or b + span > len(other):
-                continue
-            x, y = np.unique(own[a : a + span]), np.unique(other[b : b + span])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                mine[a : a + size] = True
-                theirs[b : b + size] = True
-                ok[i] = True
-                break
+        # A pair matches if a paragraph around its own place does.
+        done = np.zeros(len(good) + 1, np.int32)
+        np.cumsum(good, out=done[1:])
+        here = np.flatnonzero(given == s)
+        p = pairs[here, 0] - a
+        ok[here] = done[np.clip(p + 1, 0, len(good))] > done[np.clip(p - span + 1, 0, len(good))]
     return mine, theirs, ok
 
 

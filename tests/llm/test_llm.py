@@ -233,6 +233,41 @@ def test_substring_finds_every_copy_in_a_document(spark):
     assert [(i, c) for i, cs in copies.items() for c in cs if not any(a <= c[0] and c[1] <= b for a, b in got.get(i, []))] == []
 
 
+def _inserted(r, n):
+    """Two texts with a passage of n words, the second with a word more in it."""
+    passage, at = words(r, n, 10**6).split(), r.randrange(1, n)
+    return [" ".join([words(r, r.randrange(60), 10**6), *p, words(r, r.randrange(60), 10**6)]) for p in (passage, [*passage[:at], "inserted", *passage[at:]])]
+
+
+def test_substring_match_is_brute_force_around_a_place():
+    r, span, found = random.Random(6), 46, 0
+    for n in [*range(50, 61)] * 12:
+        number = {}
+        own, other = (np.array([number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)], np.uint64) for w in map(str.split, _inserted(r, n)))
+        p = r.choice([i for i in range(len(own)) if own[i] in other])
+        q = int(np.flatnonzero(other == own[p])[0])
+        mine, theirs = np.zeros(len(own) + 4, bool), np.zeros(len(other) + 4, bool)
+        for a in range(max(0, p - span + 1), min(p, len(own) - span) + 1):
+            b = a + q - p
+            if 0 <= b <= len(other) - span:
+                x, y = set(own[a : a + span].tolist()), set(other[b : b + span].tolist())
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    mine[a : a + 50] = theirs[b : b + 50] = True
+        got = substring_dedup._match(own, other, np.array([[p, q]]), 50, 5, 80)
+        assert got[2][0] == mine.any() and not (mine & ~got[0]).any() and not (theirs & ~got[1]).any()
+        found += mine.any()
+    assert found > 100
+
+
+def test_substring_finds_near_repeats(spark):
+    r, texts = random.Random(7), {}
+    for n in [50, 51, 52, 55, 60] * 60:
+        for t in _inserted(r, n):
+            texts[len(texts)] = t
+    got = {x.doc_id for x in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("size(removed) > 0").collect()}
+    assert len(got) >= 0.95 * 300
+
+
 def test_substring_alignments_of_all_places():
     own, other = (np.array(x, np.uint64) for x in ([1, 2, 3, 2, 9], [2, 7, 2, 3, 2]))
     pairs = np.array([[1, 0], [2, 3]])
