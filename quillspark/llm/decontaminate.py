@@ -137,6 +137,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         return _scan(rows, sets[0])
     # Beyond one block: a row key, one scan a block, and merged spans.
     rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "text"))
+    return rows.join(_scan_blocks(rows.select("_row", "text"), sets), "_row").drop("_row")
+
+
+def _scan_blocks(rows: DataFrame, sets) -> DataFrame:
+    """(_row, _n_words, _spans, _bytes, _items) of rows (_row, text) over all sets."""
     parts = None
     for s in sets:
         part = _scan(rows, s).drop("text")
@@ -149,9 +154,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         join = lambda c: [{"a": a, "b": b} for a, b in _merged((x["a"], x["b"]) for r in pdf[c] for x in r)]
         return pd.DataFrame([{"_row": one["_row"], "_n_words": one["_n_words"], "_spans": join("_spans"), "_bytes": join("_bytes"), "_items": sorted({x for r in pdf["_items"] for x in r})}])
 
-    schema = T.StructType([f for f in parts.schema.fields if f.name != "doc_id"])
-    merged = parts.drop("doc_id").groupBy("_row").applyInPandas(merge, schema)
-    return rows.join(merged, "_row").drop("_row")
+    return parts.groupBy("_row").applyInPandas(merge, parts.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +180,14 @@ def _without(text: str, spans) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, max_share: float = 0.5) -> DataFrame:
     """docs without benchmark passages: the hit words go; a document of which more
     than max_share of the words is hit goes as a whole. Columns stay as they are;
-    n_chars, if there, follows the text. Scanned in place, block after block."""
+    n_chars, if there, follows the text. One block is scanned in place; the hits of
+    several are merged before a document is judged and cut."""
     spark = docs.sparkSession
     schema, names = docs.schema, docs.columns
-    for found in window_sets(benchmark, n):
+    sets = list(window_sets(benchmark, n))
+    if len(sets) > 1:
+        return _remove_blocks(docs, sets, max_share)
+    for found in sets:
         small_arrow(spark)
         sent = spark.sparkContext.broadcast(found)
 
@@ -213,6 +220,29 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, max_share: float =
     return docs.select(*names)
 
 
+def _remove_blocks(docs: DataFrame, sets, max_share: float) -> DataFrame:
+    schema, names = docs.schema, docs.columns
+    small_arrow(docs.sparkSession)
+    keyed = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    hit = _scan_blocks(keyed.select("_row", "text"), sets).where("size(_spans) > 0")
+    hit = hit.select("_row", "_bytes", (F.expr("aggregate(_spans, 0L, (n, x) -> n + x.b - x.a)") > F.lit(float(max_share)) * F.col("_n_words")).alias("_gone"))
+
+    def cut(batches):
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            k, c = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else -1
+            texts, spans = columns[k].to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            new = {i: _without(texts[i], x) for i, x in enumerate(spans) if x}
+            if new:
+                columns[k] = pa.array([new.get(i, x) for i, x in enumerate(texts)], batch.schema.field(k).type)
+                if c >= 0:
+                    columns[c] = pa.array([len(new[i]) if i in new else x for i, x in enumerate(columns[c].to_pylist())], batch.schema.field(c).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    kept = keyed.join(hit, "_row", "left").where("_gone is null or not _gone")
+    return kept.select(*names, "_bytes").mapInArrow(cut, schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: benchmark passages go, whole documents where they prevail."""
     return remove(docs, read(spark, sf_dir, "benchmark"))

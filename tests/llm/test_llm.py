@@ -141,6 +141,18 @@ def test_many_blocks_equal_one(spark, odd, monkeypatch):
     assert sorted(map(str, decontaminate.scan(docs, bench).select("doc_id", "_spans", "_items").collect())) == one
 
 
+def test_many_blocks_remove_the_same(spark, odd, monkeypatch):
+    r = random.Random(8)
+    item = words(r, 60)
+    docs = odd.union(spark.createDataFrame([(20, f"{words(r, 100)} {item} {words(r, 50)}", "en", "a", 1, "x", 1), (21, f"{words(r, 20)} {item} {words(r, 20)}", None, None, None, None, None)], SCHEMA))
+    bench = spark.createDataFrame([("i", item), ("j", odd.where("doc_id = 6").first().text[-200:]), ("k", "few words")], "item_id string, text string")
+    one = sorted(map(str, decontaminate.remove(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 20)
+    many = decontaminate.remove(docs, bench)
+    assert many.columns == docs.columns and sorted(map(str, many.collect())) == one
+    assert not any("Row(doc_id=21," in x for x in one) and any("Row(doc_id=20," in x for x in one)
+
+
 def test_boundaries_are_optimal():
     r = np.random.default_rng(1)
     for _ in range(60):
