@@ -241,13 +241,13 @@ def q_corrections_merge(spark, d) -> DataFrame:
 
 
 def q_heading_fuzzy_match(spark, d) -> DataFrame:
-    rows = lines(documents(spark, d)).where("i < 5")
+    rows = lines(documents(spark, d))
     named = rows.where("i = 1 and length(s) > 12").select("doc_id", F.left("s", F.lit(12)).alias("name"))
     return rewrite.resolve_headings(named, rows)
 
 
 def q_line_corrections(spark, d) -> DataFrame:
-    rows = lines(documents(spark, d)).where("i < 10")
+    rows = lines(documents(spark, d))
     c = rows.where("i in (2, 4)").select("doc_id", (F.col("i") + F.col("doc_id") % 2).cast("int").alias("i"), F.col("s").alias("original"), F.when(F.col("i") == 2, "REMOVE").otherwise("fixed").alias("fixed"))
     return rewrite.fix_lines(rows, c).groupBy("doc_id").agg(F.md5(ordered_join("i", "s", "\n")).alias("text_md5"))
 

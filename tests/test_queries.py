@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -28,3 +30,14 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["repeated_sentences", "trim_overlaps", "html_to_markdown", "simplify_stub", "layout_markdown", "label_normalise_pad"])
 def test_rows_without_sql(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_line_queries_take_all_lines(spark, tmp_path):
+    texts = {k: [f"line {i} of document {k}" for i in range(20)] for k in range(4)}
+    texts[2][15] = texts[2][1][:12]
+    spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fixed = {k: ["" if i == 2 else "fixed" if i == 4 else x for i, x in enumerate(t)] for k, t in texts.items()}
+    got = {r.doc_id: r.text_md5 for r in QUERIES["line_corrections"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5("\n".join(t).encode()).hexdigest() for k, t in fixed.items()}
+    got = {r.doc_id: r.heading for r in QUERIES["heading_fuzzy_match"](spark, str(tmp_path)).collect()}
+    assert got == {k: t[15] if k == 2 else t[1] for k, t in texts.items()}
