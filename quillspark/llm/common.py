@@ -1,6 +1,6 @@
 """Helpers shared by the operators of this subpackage.
 
-* ``durable`` cuts lineage through the shared checkpoint folder.
+* ``durable`` cuts lineage through a table in the shared folder, ``release`` deletes it.
 * ``TextBlocks`` turns Arrow string columns into numpy word arrays, one slice of
   about a megabyte at a time, so memory does not depend on the batch size.
 * ``stream_pairs`` brings the two texts of candidate pairs together without
@@ -10,7 +10,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +27,56 @@ SLICE_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
+    """The shared folder that the cluster names. Where none is named, a local master
+    gets a temporary one; elsewhere executors would not see it, so that fails."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
         return found
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quill-ckpt-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables in the shared folder that this process has written and not deleted.
+_written: set[str] = set()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder; lost executors do not lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder: lost executors do not lose it,
+    and what made it need not be kept. ``release`` deletes it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quill-table-{uuid.uuid4().hex}"
+    _written.add(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, sc = spark._jvm, spark.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more. Spark deletes the shuffle
+    files behind them once the driver has collected its garbage, so that is asked for."""
+    for df in tables:
+        if path := getattr(df, "_quill_path", None):
+            _delete(df.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table of this process that is left; results must be written."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def small_arrow(spark: SparkSession) -> None:
@@ -220,8 +257,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = durable(small)
+        last, edges = edges, durable(small)
         now = _edge_state(edges)
+        release(last)
         if now == before:
             break
         before = now

@@ -2,27 +2,32 @@
 
 A paragraph is any run of ``PARAGRAPH`` words, wherever it starts, so a passage is
 found inside a line as well as on its own. Its set is its 5-word shingles; a band
-is one MinHash value (``tune_bands`` gives how many bands a recall needs). The
-MinHash of neighbouring paragraphs rarely changes, so only its changes are kept:
-about 2 rows in 47 words and band. Shingles that are the MinHash of many places
-in any band go to the end of every order with those next to them, so that a common line does not stand for the rare
-text around it; this changes which rows collide, never what is verified.
-
-Places of one key with the same words around them, as far as any paragraph
-reaches, are one class: its members are compared with its first one only, and one
-place a document stands for those of its own in the class. A pair is tested at all
-places that its shingle has in the two documents, so each copy is found. First
-members meet by key: the first of a key is compared with all others, then what it
-did not match with the rest. Places that cannot be in a common paragraph by the
-shingles around them (``_near``) are told apart before any text moves. Two paragraphs
-match when the Jaccard similarity of their shingle sets is ``percent`` at least;
-along one alignment equal positions are counted, and where that fails the sets of
-every paragraph around a place are intersected. Matched documents are clustered by connected components.
-
-In each match the later document's words are the repeat; a passage thus stays in
-the first document that has it. Edge cases: null, empty and short texts (under
-``PARAGRAPH`` words) have no paragraphs; null doc_ids take no part; rows that
-repeat a doc_id are one document; extra columns are kept."""
+is one MinHash value (``tune_bands`` gives how many bands a recall needs). Paragraphs
+that start one word apart mostly share their MinHash, so they are kept as runs: about
+2 rows in 47 words and band.
+
+1. ``anchors``: one pass over the texts gives the runs. Runs of equal words are one
+   class, of which the first place stands for the others.
+2. ``contexts``: classes whose key another document has are fetched once from their
+   texts, as at most 91 shingles of 32 bits. No text moves after that.
+3. Classes of a key meet one of them, the pivot: the most frequent, then the first.
+   Paragraphs at the same place around the common shingle match when the Jaccard
+   similarity of their sets is ``percent`` at least.
+4. Two classes that match each other, but not the pivot, share a shingle that the
+   pivot's paragraph lacks, and one of the first few of such shingles in a global
+   order (at most ``missing`` of a paragraph's shingles can lack in one that it
+   matches). So the classes are dealt anew by those shingles, and step 3 is repeated
+   with other and more pivots until no group has two classes. A key that a third of all
+   documents have costs its rows a few comparisons each, not pairs.
+5. Documents with a match are clustered by connected components.
+
+In each match the later document's words are the repeat; a passage thus stays in the
+first document that has it, with its repeats inside that document. Step 4 holds for
+paragraphs of different shingles; where shingles repeat inside one (runs of the
+same few words), classes are compared with pivots all the same, but a link may be
+missed. Edge cases: null, empty and short texts (under ``PARAGRAPH`` words) have no
+paragraphs; null doc_ids take no part; rows that repeat a doc_id are one document,
+each with the places of its own text; extra columns are kept."""
 
 from __future__ import annotations
 
@@ -33,21 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, components, durable, mix64, read, salted_by_pivot, small_arrow, text_blocks
+from .common import NON_SPACE, _qinv, _qpow, components, durable, mix64, read, release, small_arrow, text_blocks
 
 PARAGRAPH = 50
 K = 5
 PERCENT = 80
 RECALL = 0.95
-HOT = 20
-HOT_LIMIT = 1_000_000
-#: Pairs of places looked at in one join, per row; beyond that, another pivot first.
-RESIDUAL = 4
-PIVOT_ROUNDS = 12
-#: Shingles from one place to the next of those that stand for what is around it.
-STEP = 5
-#: As many on each side, of 7 bits.
-BESIDE = 9
+#: Pairs of contexts compared in one numpy pass.
+CHUNK = 128
+#: Pivots of a group in one round.
+MOST_PIVOTS = 64
+_GONE = np.int64(1) << np.int64(40)
 
 
 def tune_bands(percent: int = PERCENT, recall: float = RECALL) -> int:
@@ -56,119 +57,118 @@ def tune_bands(percent: int = PERCENT, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
 
 
-def _frequent(w, grams, hot: np.ndarray, k: int):
-    """Shingles in hot and up to k - 1 places from one, within a document: a common
-    line would else go on to stand for what is around it by its other shingles."""
-    if not len(hot) or not len(grams):
-        return None
-    late = np.zeros(len(grams) + 2 * k - 2, bool)
-    late[k - 1 : len(grams) + k - 1] = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-    for end in w.at[1:].tolist():  # shingles that run over into the next document
-        late[max(0, end - k + 1) + k - 1 : end + k - 1] = False
-    return np.lib.stride_tricks.sliding_window_view(late, 2 * k - 1).any(axis=1)
+# -------------------------------------------------------------------- anchors
 
 
-def _anchors(w, grams, seed: int, late: np.ndarray | None, size: int, k: int):
-    """(document, first word, key, hash of all around it, the shingles every STEP
-    words before and after it, 7 bits each) where a paragraph's MinHash is, without
-    repeats. A shingle past the text is 0."""
+def _windows(w, size: int):
+    """(document, first word) of every paragraph of a slice."""
+    many = np.maximum(np.diff(w.at) - size + 1, 0)
+    doc = np.repeat(np.arange(len(many)), many)
+    return doc, np.repeat(w.at[:-1] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(doc))
+
+
+def _runs_of(w, grams, sums, doc, first, seed: int, size: int, k: int):
+    """Runs of paragraphs with one MinHash place: (document, first word of the first
+    paragraph, equal runs of one paragraph that follow at once, paragraphs, shingles
+    before the place, key, class)."""
     span = size - k + 1
     n = len(grams)
-    if n < span:
-        return None
     bits = max(1, int(n).bit_length())
     low = np.uint64((1 << bits) - 1)
     keys = mix64(grams, seed)
-    order = keys
-    if late is not None:
-        order = (keys >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-    order = (order & ~low) | np.arange(n, dtype=np.uint64)
+    order = (keys & ~low) | np.arange(n, dtype=np.uint64)
     # Sliding minimum: running minima of blocks, forwards and backwards.
     padded = np.full(-(-n // span) * span, ~np.uint64(0))
     padded[:n] = order
     blocks = padded.reshape(-1, span)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: n - span + 1], ahead[span - 1 : n])
-    docs = np.arange(len(w.at) - 1)
-    many = np.maximum(np.diff(w.at) - size + 1, 0)
-    doc = np.repeat(docs, many)
-    if not len(doc):
-        return None
-    first = np.repeat(w.at[:-1] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(doc))
-    at = (least[first] & low).astype(np.int64)
+    at = (np.minimum(back[first], ahead[first + span - 1]) & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-    doc, at = doc[new], at[new]
-    begin, end = w.at[doc], w.at[doc + 1] - k + 1
-    lo, hi = np.maximum(at - span + 1, begin), np.minimum(at + span, end)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(keys, out=sums[1:])
-    around = mix64((sums[hi] - sums[lo]) ^ (((at - lo) << 32) + hi - at).astype(np.uint64))
-    near = []
-    for way in (-STEP, STEP):
-        packed = np.zeros(len(at), np.uint64)
-        for i in range(BESIDE):
-            there = at + way * (i + 1)
-            inside = (there >= begin) & (there < end)
-            bits = np.maximum(grams[np.where(inside, there, at)] & np.uint64(127), np.uint64(1))
-            packed |= np.where(inside, bits, np.uint64(0)) << np.uint64(7 * i)
-        near.append(packed)
-    return doc, at - begin, keys[at], around, *near
-
-
-def anchors(docs: DataFrame, hot: np.ndarray, bands: int, keys_only: bool = False, size: int = PARAGRAPH, k: int = K) -> DataFrame:
-    """(key, doc, pos, around, before, after) for every band; keys of different bands
-    differ by their seed. keys_only: (key), the shingles themselves."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    begin = np.flatnonzero(new)
+    m = np.diff(np.append(begin, len(at)))
+    doc, at, s = doc[begin], at[begin], first[begin]
+    key = keys[at]
+    off = at - s
+    words = (sums[s + m - 1 + size] - sums[s]) * _qinv.upto(len(sums))[s]
+    cls = mix64(mix64(words, 3) + (m * 64 + off).astype(np.uint64))
+    # A word many times over gives the same run at every place.
+    new = np.ones(len(m), bool)
+    new[1:] = (m[1:] != 1) | (cls[1:] != cls[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] != s[:-1] + 1)
+    begin = np.flatnonzero(new)
+    reps = np.diff(np.append(begin, len(m)))
+    return doc[begin], s[begin], reps, m[begin], off[begin], key[begin], cls[begin]
+
+
+def anchors(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) -> DataFrame:
+    """(key, cls, doc, v, pos, reps, m, off) of every run in every band; keys of
+    different bands differ by their seed. docs: doc_id, v, text."""
+    names = ["key", "cls", "doc", "v", "pos", "reps", "m", "off"]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in text_blocks(batch.column(1), NON_SPACE):
+            ids, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for w in text_blocks(batch.column(2), NON_SPACE):
+                doc, first = _windows(w, size)
+                if not len(doc):
+                    continue
                 grams = w.grams(k)
-                late = _frequent(w, grams, sent.value, k)
+                sums = np.zeros(len(w.h) + 1, np.uint64)
+                np.cumsum(w.h * _qpow.upto(len(w.h)), out=sums[1:])
                 for seed in range(bands):
-                    if (got := _anchors(w, grams, 100 + seed, late, size, k)) is None:
-                        continue
-                    doc, pos, key, *rest = got
-                    if keys_only:
-                        key = grams[w.at[doc] + pos]
-                    columns = [pa.array(key.view(np.int64))]
-                    if not keys_only:
-                        columns += [pa.array(ids[w.first + doc].astype(np.int64)), pa.array(pos.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in rest]]
-                    yield pa.RecordBatch.from_arrays(columns, ["key"] if keys_only else ["key", "doc", "pos", "around", "before", "after"])
+                    d, s, reps, m, off, key, cls = _runs_of(w, grams, sums, doc, first, 100 + seed, size, k)
+                    row = w.first + d
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), cls.view(np.int64), ids[row].astype(np.int64), v[row].astype(np.int32), (s - w.at[d]).astype(np.int32), reps.astype(np.int32), m.astype(np.int32), off.astype(np.int32))], names)
 
     small_arrow(docs.sparkSession)
-    return docs.mapInArrow(run, "key long" if keys_only else "key long, doc long, pos int, around long, before long, after long")
+    return docs.mapInArrow(run, "key long, cls long, doc long, v int, pos int, reps int, m int, off int")
+
 
+def contexts(classes: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K) -> DataFrame:
+    """(key, cls, lo, hi, n, off, ctx): the shingles of each class's paragraphs, 32
+    bits each. classes: key, cls, lo, v, pos, m, off, hi, n; a text is read once."""
+    asked = classes.groupBy(F.col("lo").alias("doc_id"), "v").agg(F.collect_list(F.struct("key", "cls", "pos", "m", "off", "hi", "n")).alias("asked"))
+    names = ["key", "cls", "lo", "hi", "n", "off", "ctx"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-def hot_keys(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) -> np.ndarray:
-    counted = durable(anchors(docs, np.zeros(0, np.uint64), bands, True, size, k).groupBy("key").count().where(F.col("count") > HOT))
-    if counted.count() > HOT_LIMIT:
-        counted = counted.orderBy(F.desc("count"), "key").limit(HOT_LIMIT)
-    return np.sort(np.array([r.key for r in counted.select("key").toLocalIterator()], np.int64).view(np.uint64))
+    def run(batches):
+        for batch in batches:
+            ids, asked = batch.column(0).to_pylist(), batch.column(2)
+            for w in text_blocks(batch.column(1), NON_SPACE):
+                grams, out = w.grams(k).astype("<u4"), [[] for _ in names]
+                for d in range(len(w.at) - 1):
+                    i = w.first + d
+                    it = asked[i].values
+                    key, cls, pos, m, off, hi, n = (it.field(c).to_numpy(zero_copy_only=False) for c in range(7))
+                    a = w.at[d] + pos
+                    for x, y in zip(out, (key, cls, [ids[i]] * len(key), hi, n, off, [grams[b : b + c].tobytes() for b, c in zip(a.tolist(), (m + size - k).tolist(), strict=True)]), strict=True):
+                        x.extend(y)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
+    small_arrow(docs.sparkSession)
+    return docs.join(asked, ["doc_id", "v"]).select("doc_id", "text", "asked").mapInArrow(run, "key long, cls long, lo long, hi long, n long, off int, ctx binary")
 
-def _shifts(own, other, pairs, x, y):
-    """Alignments of all pairs of places with one shingle. x, y: the number of the
-    shingle in pairs at each place of own and other, -1 for none."""
-    shift = np.unique(pairs[:, 1] - pairs[:, 0])
-    at, there = np.flatnonzero(x >= 0), np.flatnonzero(y >= 0)
-    if max(len(at), len(there)) == x.max(initial=-1) + 1:
-        return shift
-    there = there[np.argsort(y[there], kind="stable")]
-    lo, hi = (np.searchsorted(y[there], x[at], side) for side in ("left", "right"))
-    seen = np.zeros(len(own) + len(other), bool)
-    for p, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        seen[there[i:j] - p + len(own)] = True
-    return np.flatnonzero(seen) - len(own)
 
+# ----------------------------------------------------------------- comparison
 
-def _numbers(grams, s):
-    """Index in grams (sorted) of each of s, -1 for none."""
-    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-    return np.where(grams[at] == s, at, -1)
+
+def _grid(ctx, off, span: int, pad: int):
+    """Shingles around the common one, which is in column span - 1; the paragraphs
+    of each run as (first, past the last)."""
+    out = np.full((len(ctx), 2 * span - 1), pad, np.int64)
+    begin = span - 1 - off
+    m = np.empty(len(ctx), np.int64)
+    for i, (c, b) in enumerate(zip(ctx, begin.tolist(), strict=True)):
+        x = np.frombuffer(c, "<u4")
+        out[i, b : b + len(x)] = x
+        m[i] = len(x) - span + 1
+    return out, begin, begin + m
+
+
+def _repeated(x):
+    s = np.sort(x, axis=1)
+    return ((s[:, 1:] == s[:, :-1]) & (s[:, 1:] >= 0)).any(axis=1)
 
 
 def _jaccard(x, y, span: int, percent: int):
@@ -185,182 +185,146 @@ def _jaccard(x, y, span: int, percent: int):
     return 100 * (a & b).sum(axis=1) >= percent * (a | b).sum(axis=1)
 
 
-def _match(own, other, pairs, size: int, k: int, percent: int):
-    """own, other: shingles in order of two documents; pairs: (pos in own, pos in
-    other). Words matched of each (boolean), and whether each pair matched."""
+def _compare(x, xa, xb, y, ya, yb, more, size: int, k: int, percent: int):
+    """For pairs of grids: which paragraphs match (pair, column of the first shingle),
+    and for pairs of ``more`` the shingles of y that deal it out anew."""
     span = size - k + 1
     need = -(-2 * span * percent // (100 + percent))
-    mine, theirs = np.zeros(len(own) + k - 1, bool), np.zeros(len(other) + k - 1, bool)
-    ok = np.zeros(len(pairs), bool)
-    # Every place of the pairs' shingles, not only the one that stands for them.
-    grams = np.unique(own[pairs[:, 0]])
-    x, y = _numbers(grams, own), _numbers(grams, other)
-    given = pairs[:, 1] - pairs[:, 0]
-    for s in _shifts(own, other, pairs, x, y):
-        a, b = max(0, -s), min(len(own), len(other) - s)
-        if b - a < span:
-            continue
-        same = own[a:b] == other[a + s : b + s]
-        sums = np.zeros((2, b - a + 1), np.int32)
-        np.cumsum(same, out=sums[0, 1:])
-        np.cumsum(same & (x[a:b] >= 0), out=sums[1, 1:])
-        equal, places = sums[:, span:] - sums[:, :-span]
-        good = equal >= need
-        # The other paragraphs with a place, span at a time.
-        for i, j in _runs(np.flatnonzero((places > 0) & ~good)):
-            for at in range(i, j + 1, span):
-                end = min(at + span, j + 1)
-                good[at:end] = _jaccard(own[a + at : a + end + span - 1], other[a + s + at : a + s + end + span - 1], span, percent)
-        for i in _runs(np.flatnonzero(good)):
-            mine[a + i[0] : a + i[1] + size] = True
-            theirs[a + s + i[0] : a + s + i[1] + size] = True
-        # A pair matches if a paragraph around its own place does.
-        done = np.zeros(len(good) + 1, np.int32)
-        np.cumsum(good, out=done[1:])
-        here = np.flatnonzero(given == s)
-        p = pairs[here, 0] - a
-        ok[here] = done[np.clip(p + 1, 0, len(good))] > done[np.clip(p - span + 1, 0, len(good))]
-    return mine, theirs, ok
+    n, wide = x.shape
+    pair, p, q = np.nonzero(x[:, :, None] == y[:, None, :])
+    close = np.abs(p - q) < span
+    pair, p, q = pair[close], p[close], q[close]
+    # A shingle at p in x and q in y is in the paragraphs from one column to another.
+    counts = np.bincount(pair * (span + 1) + np.maximum(np.maximum(p, q) - span + 1, 0), minlength=n * (span + 1)) - np.bincount(pair * (span + 1) + np.minimum(np.minimum(p, q), span - 1) + 1, minlength=n * (span + 1))
+    counts = np.cumsum(counts.reshape(n, span + 1), axis=1)[:, :span]
+    r = np.arange(span)
+    in_x, in_y = (r >= xa[:, None]) & (r < xb[:, None]), (r >= ya[:, None]) & (r < yb[:, None])
+    good = (counts >= need) & in_x & in_y
+    for i in np.flatnonzero((_repeated(x) | _repeated(y)) & (in_x & in_y).any(axis=1)).tolist():
+        a, b = max(xa[i], ya[i]), min(xb[i], yb[i])
+        good[i] = False
+        good[i, a:b] = _jaccard(x[i, a : b + span - 1], y[i, a : b + span - 1], span, percent)
+    tokens = [[]] * n
+    ask = np.flatnonzero(more)
+    if len(ask):
+        number = np.full(n, -1)
+        number[ask] = np.arange(len(ask))
+        mine = number[pair] >= 0
+        pair, p, q = number[pair[mine]], p[mine], q[mine]
+        cells = (pair * wide + q) * (span + 1)
+        known = np.bincount(cells + np.maximum(p - span + 1, 0), minlength=len(ask) * wide * (span + 1)) - np.bincount(cells + np.minimum(p, span - 1) + 1, minlength=len(ask) * wide * (span + 1))
+        known = (np.cumsum(known.reshape(len(ask), wide, span + 1), axis=2)[:, :, :span] > 0) & in_x[ask][:, None, :]
+        known = np.ascontiguousarray(known.transpose(0, 2, 1))
+        a, b, c = known.strides
+        known = np.lib.stride_tricks.as_strided(known, (len(ask), span, span), (a, b + c, c))  # paragraph r, shingle r + j
+        values = np.lib.stride_tricks.sliding_window_view(y[ask], span, axis=1)
+        left = np.where(known, _GONE, values)
+        first = span - need + 1
+        left = np.partition(left, first - 1, axis=2)[:, :, :first]
+        left[~in_y[ask]] = _GONE
+        for j, i in enumerate(ask.tolist()):
+            found = np.unique(left[j])
+            tokens[i] = found[(found < _GONE) & (found >= 0)].tolist()
+    return good, in_y, tokens
 
 
 def _runs(x):
-    if not len(x):
-        return []
-    cut = np.flatnonzero(np.diff(x) > 1)
-    return list(zip(x[np.concatenate([[0], cut + 1])].tolist(), x[np.concatenate([cut, [len(x) - 1]])].tolist(), strict=True))
-
-
-def _spans(mask):
     """Runs of True as [first, past the last]."""
-    return [[a, b + 1] for a, b in _runs(np.flatnonzero(mask))]
+    d = np.diff(np.concatenate([[0], x.astype(np.int8), [0]]))
+    return np.stack([np.flatnonzero(d > 0), np.flatnonzero(d < 0)], axis=1).tolist()
 
 
-_OUT = "pivot long, member long, mine array<array<int>>, theirs array<array<int>>, theirs_bytes array<array<int>>, failed array<struct<key: bigint, p: int, q: int>>"
+_MET = "key long, a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, n_b long, mine array<array<int>>, theirs array<array<int>>, open boolean, tokens array<long>"
 _INTS = pa.list_(pa.list_(pa.int32()))
-_FAILED = pa.list_(pa.struct([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32())]))
+_TYPES = [*[pa.int64()] * 8, _INTS, _INTS, pa.bool_(), pa.list_(pa.int64())]
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """pairs: pivot, member, at (array of struct key, p, q). Word spans that match
-    in each, byte spans of the member's, and the pairs that do not match."""
+def compare(pairs: DataFrame, ctx: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """pairs: key, a (the pivot), b, more. The paragraphs of each that match, as runs of
+    their numbers, whether one of b's does not, and with ``more`` the shingles by which
+    b is dealt on."""
+    span = size - k + 1
+    side = lambda s: ctx.select("key", F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "n", "off", "ctx")])
 
     def run(batches):
-        pivot, own = None, None
         for batch in batches:
-            p, m, at = batch.column(0).to_numpy(), batch.column(2), batch.column(4)
-            is_pivot = m.is_null().to_numpy(zero_copy_only=False)
-            m = m.fill_null(-1).to_numpy()
-            out = [[] for _ in range(6)]
-            for w in text_blocks(batch.column(3), NON_SPACE):
-                g = w.grams(k)
-                for d in range(len(w.at) - 1):
-                    i = w.first + d
-                    s = g[w.at[d] : max(w.at[d], w.at[d + 1] - k + 1)]
-                    if is_pivot[i]:
-                        pivot, own = p[i], s.copy()
-                        continue
-                    if pivot != p[i]:
-                        continue
-                    found = at[i].values
-                    keys, places = found.field("key").to_numpy(), np.stack([found.field(c).to_numpy() for c in ("p", "q")], axis=1).astype(np.int64)
-                    mine, theirs, ok = _match(own, s, places, size, k, percent)
-                    failed = [{"key": x, "p": y, "q": z} for x, (y, z) in zip(keys[~ok].tolist(), places[~ok].tolist(), strict=True)]
-                    spans, o, f = _spans(theirs), int(w.offsets[d]), int(w.at[d])
-                    for x, v in zip(out, (p[i], m[i], _spans(mine), spans, [[int(w.start[f + a]) - o, int(w.end[f + b - 1]) - o] for a, b in spans], failed), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), _INTS, _INTS, _INTS, _FAILED), strict=True)], ["pivot", "member", "mine", "theirs", "theirs_bytes", "failed"])
-
-    return salted_by_pivot(pairs, docs).select("pivot", "_salt", "member", "text", "at").mapInArrow(run, _OUT)
-
-
-def _near(x: str, y: str, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT):
-    """Whether the places x and y (prefixes of columns) can be in a paragraph of both,
-    by the shingles beside them (bit BESIDE of ``same`` is the place itself). A
-    paragraph holds ``held`` or more of them. A word that differs changes one of them
-    at most (k <= STEP), and as many words may differ as the threshold lets shingles
-    be missing. An inserted word shifts those beyond it: then the side with the place
-    must be the longer one, or another place stands for the paragraph."""
-    span = size - k + 1
-    held = min(span // STEP, BESIDE + 1)
-    missing = -(-(span - -(-2 * span * percent // (100 + percent))) // k)
-    run = max(1, span // 2 // STEP)
-    same = F.lit(1 << BESIDE)
-    for way, c in ((-1, "before"), (1, "after")):
-        differ = F.col(x + c).bitwiseXOR(F.col(y + c))
-        for i in range(BESIDE):
-            same = same + F.when(F.shiftrightunsigned(differ, 7 * i).bitwiseAND(127) == 0, 1 << (BESIDE + way * (i + 1))).otherwise(0)
-
-    def judge(bits):
-        def within(n, least):
-            counts = [F.bit_count(F.shiftright(bits, at).bitwiseAND((1 << n) - 1)) >= least for at in range(BESIDE - n + 1, BESIDE + 1)]
-            return F.greatest(*counts) if len(counts) > 1 else counts[0]
-
-        return within(held, held - missing) | within(run, run)
-
-    # The lambda has the bits computed once.
-    return F.exists(F.array(same), judge)
-
-
-def _pairs(found: DataFrame) -> DataFrame:
-    """found: key, x_doc, x_pos, y_doc, y_pos. The earlier document is the pivot."""
-    swap = F.col("x_doc") > F.col("y_doc")
-    side = lambda c, d: F.when(swap, F.col(c)).otherwise(F.col(d))
-    return found.select("key", side("y_doc", "x_doc").alias("pivot"), side("y_pos", "x_pos").alias("p"), side("x_doc", "y_doc").alias("member"), side("x_pos", "y_pos").alias("q"))
-
-
-def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """verify()'s rows with a match. docs: doc_id, text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    bands = tune_bands(percent, recall)
-    hot = hot_keys(docs, bands, size, k)
-    place = ["doc", "pos", "before", "after"]
-    as_side = lambda df, side, *more: df.select("key", *[F.col(c).alias(f"{side}_{c}") for c in (*place, *more)])
-    near = _near("x_", "y_", size, k, percent)
-
-    def compare(todo):
-        return durable(verify(todo.groupBy("pivot", "member").agg(F.collect_list(F.struct("key", "p", "q")).alias("at")), docs, size, k, percent))
-
-    # Of places of a document with the same surroundings one stands for all: verify
-    # tests every place of its shingle. Other surroundings are rows of their own.
-    dealt = anchors(docs, hot, bands, size=size, k=k).groupBy("key", "doc", "around").agg(F.min(F.struct("pos", "before", "after")).alias("at")).select("key", "doc", "around", "at.*")
-    shared = dealt.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    rows = durable(dealt.join(shared, "key"))
-    size_rows = rows.count()
-    classes = rows.groupBy("key", "around").agg(F.min(F.struct(*place)).alias("at")).select("key", "around", "at.*")
-    classes = durable(classes)
-    alike = as_side(classes, "x", "around").join(as_side(rows, "y", "around"), "key").where("x_around = y_around and x_doc <> y_doc")
-    # The first of a key against all other classes; those it cannot match stay open,
-    # and so do the other places of its own document.
-    others, near = "x_doc <> y_doc or x_pos <> y_pos", (F.col("x_doc") != F.col("y_doc")) & near
-    firsts = classes.groupBy("key").agg(F.min(F.struct(*place)).alias("at"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "at.*")
-    met = durable(as_side(firsts, "x").join(as_side(classes, "y"), "key").where(others).withColumn("near", near))
-    found = compare(_pairs(alike).union(_pairs(met.where("near"))))
-    failed = found.select(F.explode("failed").alias("f"), F.col("member").alias("y_doc")).select(F.col("f.key").alias("key"), "y_doc", F.col("f.q").alias("y_pos")).distinct()
-    rest = met.join(failed.withColumn("failed", F.lit(True)), ["key", "y_doc", "y_pos"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("failed").isNotNull() | ~F.col("near")).alias("open"))
-    rest = durable(rest)
-    for k_round in range(PIVOT_ROUNDS + 1):
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("o"), F.min(F.when(F.col("open"), F.struct(*place))).alias("at"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("o > 0 and lo < hi")
-        sizes = durable(sizes)
-        left = sizes.agg(F.sum(F.col("n") * F.col("o"))).first()[0] or 0
-        if not left:
-            break
-        rest = rest.join(sizes.select("key"), "key")
-        if left <= max(RESIDUAL * size_rows, 100_000) or k_round == PIVOT_ROUNDS:
-            both = as_side(rest.where("open"), "x").join(as_side(rest, "y", "open"), "key").where(F.expr("x_doc <> y_doc and (not y_open or x_doc < y_doc)") & near)
-            found = found.union(compare(_pairs(both)))
-            break
-        firsts = sizes.select("key", "at.*")
-        met = durable(as_side(firsts, "x").join(as_side(rest, "y", "open"), "key").where(others).withColumn("near", near))
-        got = compare(_pairs(met.where("near")))
-        # What the pivot matches is decided for it, not for the others that are open.
-        matched = met.where("near and y_open").select("key", "x_doc", "x_pos", "y_doc", "y_pos")
-        failed = got.select(F.explode("failed").alias("f"), F.col("pivot").alias("a"), F.col("member").alias("b"))
-        sides = lambda x, p, y, q: failed.select(F.col("f.key").alias("key"), F.col(x).alias("x_doc"), F.col(p).alias("x_pos"), F.col(y).alias("y_doc"), F.col(q).alias("y_pos"))  # noqa: B023, E731
-        failed = sides("a", "f.p", "b", "f.q").union(sides("b", "f.q", "a", "f.p"))
-        matched = matched.join(failed.distinct(), ["key", "x_doc", "x_pos", "y_doc", "y_pos"], "left_anti").select("key", "y_doc", "y_pos", F.lit(True).alias("matched"))
-        found = found.union(got)
-        rest = durable(met.join(matched, ["key", "y_doc", "y_pos"], "left").select("key", *[F.col(f"y_{c}").alias(c) for c in place], (F.col("y_open") & F.col("matched").isNull()).alias("open")))
-    return found.where("size(theirs) > 0")
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for i in range(0, batch.num_rows, CHUNK):
+                part = {c: x.slice(i, CHUNK) for c, x in col.items()}
+                num = {c: part[c].to_numpy() for c in ("off_a", "off_b")}
+                x, xa, xb = _grid(part["ctx_a"].to_pylist(), num["off_a"].astype(np.int64), span, -1)
+                y, ya, yb = _grid(part["ctx_b"].to_pylist(), num["off_b"].astype(np.int64), span, -2)
+                good, in_y, tokens = _compare(x, xa, xb, y, ya, yb, part["more"].to_numpy(zero_copy_only=False), size, k, percent)
+                runs = [_runs(g) if g.any() else [] for g in good]
+                at = lambda first: [[[s - f, e - f] for s, e in r] for r, f in zip(runs, first.tolist(), strict=True)]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("key", "a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "n_b")], pa.array(at(xa), _INTS), pa.array(at(ya), _INTS), pa.array((in_y & ~good).any(axis=1)), pa.array(tokens, pa.list_(pa.int64()))], schema=pa.schema(list(zip(names, _TYPES, strict=True))))
+
+    names = [x.split()[0] for x in _MET.split(", ")]
+    small_arrow(ctx.sparkSession)
+    return pairs.join(side("b"), ["key", "b"]).join(side("a"), ["key", "a"]).select("key", "a", "b", "more", "lo_a", "hi_a", "off_a", "ctx_a", "lo_b", "hi_b", "n_b", "off_b", "ctx_b").mapInArrow(run, _MET)
+
+
+def _levels(ctx: DataFrame, size: int, k: int, percent: int):
+    """The comparisons of every round, each a durable table. A group has one pivot
+    in the first round and up to twice as many in each that follows: the best of each
+    of so many parts. What is left of a group is dealt on by what its first pivot lacks."""
+    rows = ctx.select(F.col("key").alias("g"), "key", "cls", "lo", "hi", "n", F.lit(True).alias("open"))
+    pivots = 1
+    while True:
+        best = rows.groupBy("g", F.pmod(F.xxhash64("cls"), F.lit(pivots)).alias("part")).agg(F.count("*").alias("size"), F.min(F.struct(~F.col("open"), -F.col("n"), "lo", "cls")).alias("first"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("open").alias("some"))
+        best = best.groupBy("g").agg(F.sum("size").alias("size"), F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"), F.collect_list("first.cls").alias("pivots"))
+        best = best.where("size > 1 and least < most and some").select("g", "pivots", F.col("first.cls").alias("first"), (F.col("size") - F.size("pivots") > 1).alias("more"))
+        pairs = rows.join(best, "g").withColumn("pivot", F.array_contains("pivots", F.col("cls"))).withColumn("a", F.explode("pivots")).where("a <> cls and (not pivot or a < cls)")
+        pairs = durable(pairs.groupBy("key", "a", F.col("cls").alias("b")).agg(F.max(F.expr("more and not pivot and a = first")).alias("more")))
+        if not pairs.take(1):
+            release(pairs)
+            return
+        met = durable(compare(pairs, ctx, size, k, percent))
+        release(pairs)
+        yield met
+        rows = met.select("key", "a", F.col("b").alias("cls"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"), F.col("n_b").alias("n"), "open", F.explode("tokens").alias("t"))
+        rows = rows.select(F.xxhash64("key", "a", "t").alias("g"), "key", "cls", "lo", "hi", "n", "open")
+        pivots = min(2 * pivots, MOST_PIVOTS)
+
+
+def _span(pos, x: str, size: int):
+    return F.array((pos + F.col(x)[0]).cast("int"), (pos + F.col("reps") - 2 + F.col(x)[1] + size).cast("int"))
+
+
+def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """((doc, v, all, gone), (u, v)): for each text the word spans that another document
+    shares, and those that an earlier one has; links between documents. docs: doc_id,
+    v, text."""
+    docs = docs.where("doc_id is not null and text is not null")
+    raw = durable(anchors(docs, tune_bands(percent, recall), size, k))
+    shared = raw.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
+    live = durable(raw.join(shared, "key"))
+    release(raw)
+    classes = live.groupBy("key", "cls").agg(F.min(F.struct("doc", "v", "pos")).alias("at"), F.max("doc").alias("hi"), F.first("m").alias("m"), F.first("off").alias("off"), F.sum("reps").alias("n"))
+    classes = durable(classes.select("key", "cls", F.col("at.doc").alias("lo"), F.col("at.v").alias("v"), F.col("at.pos").alias("pos"), "m", "off", "hi", "n"))
+    several = classes.groupBy("key").count().where("count > 1").select("key")
+    ctx = durable(contexts(classes.join(several, "key"), docs, size, k))
+    hits = [classes.where("lo < hi").select("key", "cls", F.array(F.array(F.lit(0), "m")).alias("runs"), F.col("lo").alias("low"), F.col("hi").alias("high"))]
+    links = [live.select("key", "cls", "doc").join(classes.where("lo < hi").select("key", "cls", "lo"), ["key", "cls"]).where("doc <> lo").select(F.col("doc").alias("u"), F.col("lo").alias("v")).distinct()]
+    rounds = []
+    for met in _levels(ctx, size, k, percent):
+        rounds.append(met)
+        some = met.where("size(mine) > 0")
+        hits += [some.select("key", F.col("b").alias("cls"), F.col("theirs").alias("runs"), F.col("lo_a").alias("low"), F.col("hi_a").alias("high")), some.select("key", F.col("a").alias("cls"), F.col("mine").alias("runs"), F.col("lo_b").alias("low"), F.col("hi_b").alias("high"))]
+        links.append(some.where("lo_a <> lo_b").select(F.col("lo_a").alias("u"), F.col("lo_b").alias("v")))
+    for parts in (hits, links):
+        while len(parts) > 1:
+            parts[-2:] = [parts[-2].union(parts[-1])]
+    # Of equal runs of paragraphs the smallest and the largest document say all.
+    found = hits[0].select("key", "cls", F.explode("runs").alias("r"), "low", "high").groupBy("key", "cls", "r").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.groupBy("key", "cls").agg(F.collect_list(F.struct("r", "low", "high")).alias("runs"))
+    spans = live.join(found, ["key", "cls"]).select("doc", "v", F.col("pos").alias("_p"), "reps", F.explode("runs").alias("x"))
+    spans = spans.where("x.low <> doc or x.high <> doc").select("doc", "v", _span(F.col("_p"), "x.r", size).alias("s"), (F.col("x.low") < F.col("doc")).alias("later"))
+    spans = spans.groupBy("doc", "v").agg(F.collect_set("s").alias("all"), F.collect_set(F.when(F.col("later"), F.col("s"))).alias("gone"))
+    spans = durable(spans.select("doc", "v", *[F.expr(_union_words(c)).alias(c) for c in ("all", "gone")]))
+    links = durable(links[0].distinct())
+    release(live, classes, ctx, *rounds)
+    return spans, links
 
 
 def _union_words(spans) -> str:
@@ -372,20 +336,18 @@ def _union_words(spans) -> str:
 
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, component_id, repeated, removed, removed_bytes): documents that
-    share a passage; merged word spans shared at all, those that are repeats of an
-    earlier document, and the latter as byte spans of the text."""
-    found = durable(matches(docs, **options))
-    comps = components(found.select(F.col("pivot").alias("u"), F.col("member").alias("v")))
-    sides = found.select(F.col("member").alias("doc_id"), F.col("theirs").alias("all"), F.col("theirs").alias("gone"), F.col("theirs_bytes").alias("bytes")).union(
-        found.select(F.col("pivot").alias("doc_id"), F.col("mine").alias("all"), *[F.expr("cast(array() as array<array<int>>)").alias(c) for c in ("gone", "bytes")]))
-    # Spans are united by document in pieces first, so a passage of many
-    # documents does not gather in its first one.
-    parts = sides.withColumn("_s", F.pmod(F.xxhash64("all", "gone"), F.lit(32)))
-    for keys in (["doc_id", "_s"], ["doc_id"]):
-        parts = parts.groupBy(*keys).agg(*[F.flatten(F.collect_set(c)).alias(c) for c in ("all", "gone", "bytes")])
-        parts = parts.select(*keys, *[F.expr(_union_words(c)).alias(c) for c in ("all", "gone", "bytes")])
-    return parts.join(comps.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("component_id"), F.col("all").alias("repeated"), F.col("gone").alias("removed"), F.col("bytes").alias("removed_bytes"))
+    """(doc_id, v, component_id, repeated, removed) of the texts of documents that
+    share a passage: merged word spans shared at all, and those that repeat an earlier
+    document. v tells texts of one doc_id apart."""
+    docs = _texts(docs)
+    spans, links = matches(docs, **options)
+    comps = durable(components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")))
+    release(links)
+    return spans.withColumnRenamed("doc", "doc_id").join(comps, "doc_id").select("doc_id", "v", "component_id", F.col("all").alias("repeated"), F.col("gone").alias("removed"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("v"), "text")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +357,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = durable(repeats(docs))
     words = lambda c: F.coalesce(F.expr(f"aggregate({c}, 0L, (n, x) -> n + x[1] - x[0])"), F.lit(0))
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    return _texts(docs).drop("text").join(found, ["doc_id", "v"], "left").select(
         "doc_id",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         words("repeated").alias("n_repeated_words"),
@@ -408,34 +370,38 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove(docs: DataFrame, **options) -> DataFrame:
     """docs without repeats of earlier documents; a document that is all repeat
     goes. Columns stay as they are; n_chars, if there, follows the text."""
-    gone = durable(repeats(docs.select("doc_id", "text"), **options).where("size(removed) > 0").select("doc_id", "removed_bytes"))
-    names = docs.columns
+    gone = durable(repeats(docs.select("doc_id", "text"), **options).where("size(removed) > 0").select(F.col("doc_id").alias("_quill_id"), F.col("v").alias("_quill_v"), F.col("removed").alias("_quill_spans")))
     schema = docs.schema
 
     def cut(batches):
         for batch in batches:
-            k, c = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            columns, keep = list(batch.columns[:-1]), []
-            text, chars = columns[k].to_pylist(), columns[c].to_pylist() if c >= 0 else []
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    raw, at, out = text[i].encode(), 0, []
-                    for a, b in spans:
-                        out.append(raw[at:a])
-                        at = b
-                    text[i] = b"".join([*out, raw[at:]]).decode()
-                    if c >= 0:
-                        chars[i] = len(text[i])
-                    if not text[i].strip():
-                        continue
-                keep.append(i)
-            columns[k] = pa.array(text, batch.schema.field(k).type)
-            if c >= 0:
-                columns[c] = pa.array(chars, batch.schema.field(c).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1])).take(pa.array(keep, pa.int64()))
+            k, c = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else -1
+            columns, spans = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(batch.num_rows, bool)
+            if len(rows):
+                text, chars = columns[k].to_pylist(), columns[c].to_pylist() if c >= 0 else []
+                spans = spans.take(pa.array(rows)).to_pylist()
+                for w in text_blocks(columns[k].take(pa.array(rows)), NON_SPACE):
+                    for d in range(len(w.at) - 1):
+                        f, o = int(w.at[d]), int(w.offsets[d])
+                        raw, at, out = w.data[o : int(w.offsets[d + 1])].tobytes(), 0, []
+                        for a, b in spans[w.first + d]:
+                            out.append(raw[at : int(w.start[f + a]) - o])
+                            at = int(w.end[f + b - 1]) - o
+                        i = int(rows[w.first + d])
+                        text[i] = b"".join([*out, raw[at:]]).decode()
+                        keep[i] = bool(text[i].strip())
+                        if c >= 0:
+                            chars[i] = len(text[i])
+                columns[k] = pa.array(text, batch.schema.field(k).type)
+                if c >= 0:
+                    columns[c] = pa.array(chars, batch.schema.field(c).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
 
     small_arrow(docs.sparkSession)
-    return docs.join(gone.withColumnRenamed("removed_bytes", "_removed_bytes"), "doc_id", "left").select(*names, "_removed_bytes").mapInArrow(cut, schema)
+    joined = docs.join(gone, (docs["doc_id"] == gone["_quill_id"]) & (F.hash(docs["text"]) == gone["_quill_v"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], "_quill_spans").mapInArrow(cut, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
