@@ -215,23 +215,23 @@ def doc_shingles(words: Words, k: int, grams: np.ndarray, d: int) -> np.ndarray:
 
 
 def salted_by_pivot(pairs: DataFrame, docs: DataFrame, per_group: int = 64) -> DataFrame:
-    """Rows (pivot, salt, member, text, extra columns): for each group the text
-    of its pivot (member null) first, then its members'. pairs: pivot, member and
-    any further columns; docs: doc_id, text. A pivot with many members is dealt
+    """Rows (pivot, pv, salt, member, text, extra columns): for each group the text
+    of its pivot (member null) first, then its members'. pairs: pivot, pv, member, mv
+    and any further columns; docs: doc_id, v, text. A pivot with many members is dealt
     over count / per_group groups, so no task gets more than a share of it."""
-    extra = [c for c in pairs.columns if c not in ("pivot", "member")]
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / per_group).cast("int").alias("_salts"))
+    extra = [c for c in pairs.columns if c not in ("pivot", "pv", "member", "mv")]
+    sizes = pairs.groupBy("pivot", "pv").agg(F.ceil(F.count("*") / per_group).cast("int").alias("_salts"))
     members = (
-        pairs.join(sizes, "pivot")
-        .withColumn("_salt", F.pmod(F.xxhash64("member"), F.col("_salts")).cast("int"))
-        .join(docs.select(F.col("doc_id").alias("member"), "text"), "member")
-        .select("pivot", "_salt", "member", "text", *extra)
+        pairs.join(sizes, ["pivot", "pv"])
+        .withColumn("_salt", F.pmod(F.xxhash64("member", "mv"), F.col("_salts")).cast("int"))
+        .join(docs.select(F.col("doc_id").alias("member"), F.col("v").alias("mv"), "text"), ["member", "mv"])
+        .select("pivot", "pv", "_salt", "member", "mv", "text", *extra)
     )
     pivots = (
-        sizes.join(docs.select(F.col("doc_id").alias("pivot"), "text"), "pivot")
-        .select("pivot", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(None).cast("long").alias("member"), "text", *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in extra])
+        sizes.join(docs.select(F.col("doc_id").alias("pivot"), F.col("v").alias("pv"), "text"), ["pivot", "pv"])
+        .select("pivot", "pv", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(None).cast("long").alias("member"), F.lit(None).cast("int").alias("mv"), "text", *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in extra])
     )
-    return pivots.unionByName(members).repartition("pivot", "_salt").sortWithinPartitions("pivot", "_salt", F.col("member").asc_nulls_first())
+    return pivots.unionByName(members).repartition("pivot", "pv", "_salt").sortWithinPartitions("pivot", "pv", "_salt", F.col("member").asc_nulls_first())
 
 
 # ------------------------------------------------------ connected components

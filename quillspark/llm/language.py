@@ -6,8 +6,9 @@ trigrams of its letters, with one blank between words, into their sum. A languag
 is the sum of its training texts' unit vectors; a text gets the language with the
 largest cosine once the mean of all languages is taken off.
 
-Learning takes about ``TRAIN_DOCS`` documents a language, chosen by hash; all texts
-are read whole. Edge cases: null, empty and letterless texts are `und` with score
+Learning takes about ``TRAIN_DOCS`` documents a language, chosen by hash, of the
+``MAX_LANGS`` most frequent languages; all texts are read whole, long ones stretch by
+stretch. Edge cases: null, empty and letterless texts are `und` with score
 0; null languages are not learned from; without any learned language all texts
 are `und`; ties go to the first language in order; rows are judged one by one."""
 
@@ -24,8 +25,10 @@ from .toxicity import crc_fold
 DIMENSIONS = 1024
 TRAIN_DOCS = 3_000
 SEED = 20
-#: Characters that are counted at once; a longer text is one pass.
-SLICE_CHARS = 400_000
+#: Characters that are counted at once, and kinds of trigrams that are bundled at once.
+SLICE_CHARS, BLOCK = 400_000, 4_096
+#: Languages learned at most, the most frequent.
+MAX_LANGS = 1_000
 _BLANK = 32
 _ROOM = 1 << 21  # above any code point
 
@@ -63,28 +66,31 @@ class Vectors:
 def _bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
     """(one vector a text, whether it has a letter)."""
     joined = "\x00".join(x.lower() for x in texts)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     cut = code == 0
     letter = _is_letter()[code]
     # NUL characters of a text would look like its end: they are taken out before.
-    doc = np.cumsum(cut)
-    code = np.where(letter, code, _BLANK)
+    doc = np.cumsum(cut, dtype=np.int32)
+    code = np.where(letter, code, np.uint32(_BLANK))
     keep = letter | cut
     keep[1:] |= letter[:-1]  # the first non-letter after a letter stands for a blank
     keep[:1] = True
     code, doc = code[keep], doc[keep]
     n = len(texts)
-    has = np.bincount(doc, code != _BLANK, n) > 0
-    if len(code) < 3:
-        return np.zeros((n, vectors.dimensions), np.float32), has
-    key = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
-    same = (doc[:-2] == doc[2:]) & (code[1:-1] != _BLANK)
-    kept, at = np.unique(key[same], return_inverse=True)
-    if not len(kept):
-        return np.zeros((n, vectors.dimensions), np.float32), has
-    counts = np.zeros((n, len(kept)), np.float32)
-    counts += np.bincount(doc[:-2][same] * len(kept) + at, minlength=n * len(kept)).reshape(n, -1)
-    return counts @ vectors.grams(kept), has
+    out, has = np.zeros((n, vectors.dimensions), np.float32), np.bincount(doc[code != _BLANK], minlength=n)[:n] > 0
+    # Trigrams are bundled a stretch of text and a block of kinds at a time.
+    for i in range(0, len(code) - 2, SLICE_CHARS):
+        c, d = code[i : i + SLICE_CHARS + 2].astype(np.int64), doc[i : i + SLICE_CHARS + 2]
+        same = (d[:-2] == d[2:]) & (c[1:-1] != _BLANK)
+        key, d = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[same], d[:-2][same]
+        kept, at = np.unique(key, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(BLOCK, len(kept) + BLOCK, BLOCK))
+        for b, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+            kinds, rows = kept[b * BLOCK : (b + 1) * BLOCK], order[lo:hi]
+            counts = np.bincount(d[rows].astype(np.int64) * len(kinds) + at[rows] - b * BLOCK, minlength=n * len(kinds)).reshape(n, -1).astype(np.float32)
+            out += counts @ vectors.grams(kinds)
+    return out, has
 
 
 def _slices(texts):
@@ -107,11 +113,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, one prototype each). docs: doc_id, text, lang."""
     docs = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, train_docs / n))).otherwise(share)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    share = counts.select("lang", (1_000_000 * F.least(F.lit(1.0), train_docs / F.col("count"))).cast("int").alias("_share"))
+    chosen = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share"))
 
     def run(batches):
         vectors, sums = Vectors(dimensions), {}

@@ -13,12 +13,14 @@ whole sequence; none: empty, linked with nothing). Two documents link when
    class has leaves no row.
 4. Each group proposes its most central member against the others (linear), the links
    are contracted to components, and only pairs of members that are still in
-   different components are proposed next, until none is left. All pairs are
-   thus decided or already connected.
-   Sizes, the places of the common token and parity sketches of the sets bound
-   what a pair can share; none of these bounds loses a link.
-5. A proposed pair must share prefix tokens under every further order before its
-   texts' sets are intersected.
+   different components are proposed next, by four times as many pivots, until none is
+   left. Groups that stay large are dealt on by the prefix tokens of the next order,
+   which two members that link share as well. All pairs are thus decided or
+   already connected. Sizes, the places of the common token and parity sketches of the
+   sets bound what a pair can share; none of these bounds loses a link.
+5. A proposed pair must share prefix tokens under every further order: their prefixes
+   are compared by 32 bits a token before any text moves. The sets of the rest are
+   intersected, from texts of which only those that share a prefix token are held.
 
 Edge cases: null text is empty; null doc_ids are counted but linked with nothing;
 rows that repeat a doc_id are one document if their sets are equal, and linked
@@ -26,12 +28,15 @@ through their common id otherwise; extra columns are ignored."""
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, components, doc_shingles, durable, mix64, read, salted_by_pivot, small_arrow, text_blocks
+from .common import NON_SPACE, components, doc_shingles, durable, mix64, read, release, salted_by_pivot, small_arrow, text_blocks
 
 K = 5
 PERCENT = 80
@@ -42,9 +47,10 @@ HOT = 20
 #: Frequent tokens that are broadcast at most (8 bytes each).
 HOT_LIMIT = 1_000_000
 #: Pairs of members looked at in one join, per row of the groups; beyond that,
-#: another round of pivots comes first.
+#: groups are dealt on by the next order, and more pivots come first.
 RESIDUAL = 64
-PIVOT_ROUNDS = 40
+#: Pivots of a group in one round.
+MOST_PIVOTS = 64
 #: Rounds of pivots before members meet each other.
 LEAST_ROUNDS = 2
 #: 64-bit words of a parity sketch.
@@ -84,13 +90,13 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, parity): the size, a digest and the parity
-    sketch of each document's set."""
+    """(doc_id, v, n_shingles, d1, d2, parity): the size, a digest and the parity
+    sketch of each document's set; v tells texts of one doc_id apart."""
 
     def run(batches):
         for batch in batches:
             n, d1, d2, odd = [], [], [], []
-            for w in text_blocks(batch.column(1), NON_SPACE):
+            for w in text_blocks(batch.column(2), NON_SPACE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
                     s = doc_shingles(w, k, g, d)
@@ -98,10 +104,10 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
                     d1.append(np.sum(s, dtype=np.uint64))
                     d2.append(np.bitwise_xor.reduce(mix64(s, 7)) if len(s) else np.uint64(0))
                     odd.append(np.frombuffer(parity(s), np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(d1, np.uint64))), pa.array(_signed(np.array(d2, np.uint64))), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_signed(np.array(d1, np.uint64))), pa.array(_signed(np.array(d2, np.uint64))), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "v", "n_shingles", "d1", "d2", "parity"])
 
     small_arrow(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, parity array<long>")
+    return docs.select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, n_shingles long, d1 long, d2 long, parity array<long>")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) -> DataFrame:
@@ -132,7 +138,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
                     columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.repeat(np.array([x[4] for x in out], np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int, own int")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int, own int")
 
 
 def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarray:
@@ -180,39 +186,72 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
     return dealt.mapInArrow(shared, "token long, cls long, doc long, n int, pos int, own int")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(u, v) of the pairs (pivot, member) that link."""
+def candidates(docs: DataFrame, reps: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, v, text, firsts) of the texts that stand for a class in some group:
+    firsts holds the prefixes under every further order, 32 bits a token, sorted."""
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         late = hot_sent.value
-        pivot, own, prefixes, size = None, None, (), 0
         for batch in batches:
-            p, m = batch.column(0).to_numpy(), batch.column(2)
+            out = []
+            for w in text_blocks(batch.column(2), NON_SPACE):
+                g = w.grams(k)
+                for d in range(len(w.at) - 1):
+                    s = doc_shingles(w, k, g, d)
+                    n = prefix_length(len(s), percent)
+                    out.append(b"".join(np.sort(in_order(s, o, late, n).astype("<u4")).tobytes() for o in ORDERS[1:]) if n else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "v", "text", "firsts"])
+
+    small_arrow(docs.sparkSession)
+    return docs.join(reps, ["doc_id", "v"]).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, text string, firsts binary")
+
+
+def share_prefixes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that share prefix tokens under every further order. Equal tokens have
+    equal 32 bits, so no pair that does is lost; the few bytes of the prefixes move,
+    texts do not."""
+    schema = pairs.schema
+    side = lambda s, v, f: texts.select(F.col("doc_id").alias(s), F.col("v").alias(v), F.col("firsts").alias(f))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                x, y = (np.frombuffer(z, "<u4").reshape(len(ORDERS) - 1, -1) for z in (x, y))
+                keep.append(all(np.isin(a, b).any() for a, b in zip(x, y, strict=True)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], schema=pa.schema(list(batch.schema)[:-2])).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("member", "mv", "_y"), ["member", "mv"]).join(side("pivot", "pv", "_x"), ["pivot", "pv"]).select(*pairs.columns, "_x", "_y").mapInArrow(run, schema)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(u, v, cu, cv) of the pairs (pivot, pv, member, mv, cu, cv) that link."""
+
+    def run(batches):
+        pivot, own, size = None, None, 0
+        for batch in batches:
+            p, pv, m = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             is_pivot = m.is_null().to_numpy(zero_copy_only=False)
             m = m.fill_null(-1).to_numpy()
-            u, v = [], []
+            at = []
             for w in text_blocks(batch.column(3), NON_SPACE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
                     i = w.first + d
                     s = doc_shingles(w, k, g, d)
-                    n = prefix_length(len(s), percent)
                     if is_pivot[i]:
-                        pivot, own, size = p[i], s, len(s)
-                        prefixes = [np.sort(in_order(s, o, late, n)) for o in ORDERS[1:]]
-                        continue
-                    if pivot != p[i] or 100 * min(size, len(s)) < percent * max(size, len(s)) or not len(s):
+                        pivot, own, size = (p[i], pv[i]), s, len(s)
                         continue
-                    if not all(np.isin(in_order(s, o, late, n), q, assume_unique=True).any() for o, q in zip(ORDERS[1:], prefixes, strict=True)):
+                    if pivot != (p[i], pv[i]) or 100 * min(size, len(s)) < percent * max(size, len(s)) or not len(s):
                         continue
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     if 100 * both >= percent * (size + len(s) - both):
-                        u.append(p[i])
-                        v.append(m[i])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                        at.append(i)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (0, 2, 4, 5)], ["u", "v", "cu", "cv"])
 
-    return salted_by_pivot(pairs, docs).select("pivot", "_salt", "member", "text").mapInArrow(run, "u long, v long")
+    return salted_by_pivot(pairs, texts).select("pivot", "pv", "member", "text", "cu", "cv").mapInArrow(run, "u long, v long, cu long, cv long")
 
 
 def _fitting(a: str, i: str, b: str, j: str, percent: int):
@@ -231,70 +270,119 @@ def _close(a: str, x: str, b: str, y: str, percent: int):
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(a) + F.col(b)), F.lit(True))
 
 
+def _mixed(labelled: DataFrame) -> int:
+    """Pairs of members of a group that are in different components."""
+    sizes = labelled.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    return int(sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def deal_on(labelled: DataFrame, texts: DataFrame, order: int) -> DataFrame:
+    """The groups that are still open, dealt on by the prefix tokens of a further
+    order: members that link share one of those as well, or they do not link."""
+    schema = labelled.schema
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    held = labelled.join(mixed, "token").join(texts.select(F.col("doc_id").alias("rep"), "v", "firsts"), ["rep", "v"]).select(*labelled.columns, "firsts")
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x, "<u4").reshape(len(ORDERS) - 1, -1)[order] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).take(pa.array(at, pa.int64()))
+            token = rows.column(schema.names.index("token")).to_numpy().view(np.uint64)
+            further = np.concatenate(sets).astype(np.uint64) if sets else np.zeros(0, np.uint64)
+            columns = list(rows.columns)
+            columns[schema.names.index("token")] = pa.array(_signed(mix64(token ^ mix64(further, 11 + order))))
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+    dealt = held.mapInArrow(run, schema)
+    several = dealt.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return dealt.join(several, "token").select(*labelled.columns)
+
+
 def _members_meet(labelled: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
-    """(pivot, member): the members of each group that are in different components
-    and can link, each with each."""
+    """Pairs of members of a group that are in different components and can link."""
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    held = durable(labelled.join(mixed, "token").join(parities, "rep").select("token", "rep", "n", "pos", "comp", "parity"))
-    a, b = (held.select("token", F.col("rep").alias(who), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"i{i}"), F.col("comp").alias(f"c{i}"), F.col("parity").alias(f"x{i}")) for i, who in ((1, "pivot"), (2, "member")))
-    return a.join(b, "token").where((F.col("pivot") < F.col("member")) & (F.col("c1") != F.col("c2")) & _fitting("n1", "i1", "n2", "i2", percent) & _close("n1", "x1", "n2", "x2", percent))
+    held = labelled.join(mixed, "token").join(parities, ["rep", "v"]).select("token", "rep", "v", "n", "pos", "comp", "parity")
+    a, b = (held.select("token", F.col("rep").alias(who), F.col("v").alias(v), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"i{i}"), F.col("comp").alias(c), F.col("parity").alias(f"x{i}")) for i, who, v, c in ((1, "pivot", "pv", "cu"), (2, "member", "mv", "cv")))
+    return a.join(b, "token").where((F.struct("pivot", "pv") < F.struct("member", "mv")) & (F.col("cu") != F.col("cv")) & _fitting("n1", "i1", "n2", "i2", percent) & _close("n1", "x1", "n2", "x2", percent))
+
+
+_PAIR = ["pivot", "pv", "member", "mv"]
 
 
 def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(u, v) between class representatives, enough of them that their components
-    are those of all links. docs: doc_id, text; sketched: durable sketch()."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    """(u, v) between documents that stand for their classes, enough of them that
+    their components are those of all links. docs: doc_id, v, text; sketched: durable
+    sketch()."""
+    docs = docs.where("doc_id is not null and text is not null")
     hot = hot_tokens(docs, k, percent)
-    classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "parity")).alias("least"))
-    classes = classes.select("d1", "d2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.parity").alias("parity"))
-    parities = classes.groupBy("rep").agg(F.count("*").alias("texts"), F.first("parity").alias("parity")).withColumn("parity", F.when(F.col("texts") == 1, F.col("parity"))).drop("texts")
+    classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "v", "parity")).alias("least"))
+    classes = durable(classes.select("d1", "d2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.v").alias("v"), F.col("least.parity").alias("parity")))
+    parities = classes.select("rep", "v", "parity")
     # A class stands in its groups by any member; from here on by its smallest.
     members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
-    rows = durable(members.join(classes.select("d1", "n_shingles", "rep"), ["d1", "n_shingles"]).select("token", "rep", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
+    rows = durable(members.join(classes.select("d1", "n_shingles", "rep", "v"), ["d1", "n_shingles"]).select("token", "rep", "v", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
     size = rows.count()
-    found = spark.createDataFrame([], "u long, v long")
-    done = spark.createDataFrame([], "pivot long, member long")
-    labelled = rows.withColumn("comp", F.col("rep"))
-    for k_round in range(PIVOT_ROUNDS):
-        open_groups = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("apart", "rep", "n", "pos", "comp")).alias("first")).where("lo < hi")
-        if k_round:
-            mixed = labelled.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not mixed:
-                break
+    texts = durable(candidates(docs, rows.select(F.col("rep").alias("doc_id"), "v").distinct(), hot, k, percent))
+    found, done = [], []
+    labelled, order, pivots = rows.withColumn("comp", F.col("rep")), 0, 1
+    for k_round in itertools.count():
+        mixed = _mixed(labelled) if k_round else size
+        if k_round >= LEAST_ROUNDS and mixed > RESIDUAL * size and order < len(ORDERS) - 1:
+            before, labelled = labelled, durable(deal_on(labelled, texts, order))
+            release(before)
+            order, mixed = order + 1, _mixed(labelled)
+        if not mixed:
+            break
         last = k_round >= LEAST_ROUNDS and mixed <= max(RESIDUAL * size, 100_000)
         if last:
             pairs = _members_meet(labelled, parities, percent)
         else:
-            pairs = labelled.join(open_groups.select("token", F.col("first.rep").alias("pivot"), F.col("first.n").alias("n1"), F.col("first.pos").alias("i1"), F.col("first.comp").alias("c1")), "token").where((F.col("rep") != F.col("pivot")) & (F.col("comp") != F.col("c1")) & _fitting("n1", "i1", "n", "pos", percent)).withColumnRenamed("rep", "member")
-        pairs = durable(pairs.select("pivot", "member").distinct().join(done, ["pivot", "member"], "left_anti"))
-        found = durable(found.union(verify(pairs, docs, hot, k, percent)))
+            heads = labelled.groupBy("token", F.pmod(F.xxhash64("rep", "v"), F.lit(pivots)).alias("part")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("apart", "rep", "v", "n", "pos", "comp")).alias("first"))
+            heads = heads.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("first").alias("heads")).where("lo < hi").select("token", "heads")
+            met = labelled.join(heads, "token").withColumn("h", F.explode("heads")).select("token", F.col("rep").alias("member"), F.col("v").alias("mv"), "n", "pos", F.col("comp").alias("cv"), *[F.col(f"h.{c}").alias(x) for c, x in (("rep", "pivot"), ("v", "pv"), ("n", "n1"), ("pos", "i1"), ("comp", "cu"))])
+            pairs = met.where((F.col("cv") != F.col("cu")) & _fitting("n1", "i1", "n", "pos", percent))
+        pairs = pairs.groupBy(*_PAIR).agg(F.first("cu").alias("cu"), F.first("cv").alias("cv"))
+        for old in done:
+            pairs = pairs.join(old.select(*_PAIR), _PAIR, "left_anti")
+        pairs = durable(pairs)
+        kept = durable(share_prefixes(pairs, texts))
+        new = durable(verify(kept, texts, k, percent))
+        release(kept)
+        found.append(new)
+        done.append(pairs)
         if last:
             break
-        done = done.union(pairs)
-        comps = components(found)
-        # The pivots have met all others of their groups.
-        rest = labelled.drop("comp").join(open_groups.select("token", F.col("first.rep").alias("_pivot")), "token").where("rep <> _pivot").drop("_pivot")
-        labelled = durable(rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-    else:
-        pairs = _members_meet(labelled, parities, percent)
-        found = durable(found.union(verify(durable(pairs.select("pivot", "member").distinct()), docs, hot, k, percent)))
-    return found
+        # The pivots have met all others of their groups. Only new links are contracted.
+        moved = components(new.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        rest = labelled.join(heads, "token").where("not exists(heads, x -> x.rep = rep and x.v = v)").drop("heads")
+        before, labelled = labelled, durable(rest.join(moved.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"))
+        if k_round:
+            release(before)
+        pivots = min(4 * pivots, MOST_PIVOTS)
+    out = durable(functools.reduce(DataFrame.union, found).select("u", "v")) if found else docs.sparkSession.createDataFrame([], "u long, v long")
+    release(classes, rows, labelled, texts, *found, *done)
+    return out
 
 
 def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("v"), "text")
     sketched = durable(sketch(docs, k))
     classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    comps = components(links(docs, sketched, k, percent))
+    linked = links(docs, sketched, k, percent)
+    comps = components(linked)
     labels = durable(classes.join(comps, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("label")))
-    joined = sketched.join(labels, ["d1", "d2", "n_shingles"], "left")
+    joined = sketched.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
     # Rows that repeat a doc_id with other texts tie their classes together.
-    ties = joined.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("u", "v")
+    known = joined.where("doc_id is not null and label is not null").select("doc_id", "label")
+    torn = known.groupBy("doc_id").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    ties = durable(known.join(torn, "doc_id").where("label <> least").select(F.col("label").alias("u"), F.col("least").alias("v")).distinct())
     if ties.take(1):
-        tied = components(ties)
-        joined = joined.join(tied, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+        joined = joined.join(components(ties), F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
+    out = durable(joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")))
+    release(sketched, linked, labels, ties)
+    return out
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,8 @@ RECALL = 0.95
 CHUNK = 128
 #: Pivots of a group in one round.
 MOST_PIVOTS = 64
-_GONE = np.int64(1) << np.int64(40)
+#: Shingles have 32 bits; 0 and 1 stand for places past a run, the last value for shingles that do not count.
+_X, _Y, _GONE = 0, 1, (1 << 32) - 1
 
 
 def tune_bands(percent: int = PERCENT, recall: float = RECALL) -> int:
@@ -156,19 +157,19 @@ def contexts(classes: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int
 def _grid(ctx, off, span: int, pad: int):
     """Shingles around the common one, which is in column span - 1; the paragraphs
     of each run as (first, past the last)."""
-    out = np.full((len(ctx), 2 * span - 1), pad, np.int64)
+    out = np.full((len(ctx), 2 * span - 1), pad, np.uint32)
     begin = span - 1 - off
     m = np.empty(len(ctx), np.int64)
     for i, (c, b) in enumerate(zip(ctx, begin.tolist(), strict=True)):
         x = np.frombuffer(c, "<u4")
-        out[i, b : b + len(x)] = x
+        out[i, b : b + len(x)] = np.clip(x, 2, _GONE - 1)
         m[i] = len(x) - span + 1
     return out, begin, begin + m
 
 
 def _repeated(x):
     s = np.sort(x, axis=1)
-    return ((s[:, 1:] == s[:, :-1]) & (s[:, 1:] >= 0)).any(axis=1)
+    return ((s[:, 1:] == s[:, :-1]) & (s[:, 1:] > _Y)).any(axis=1)
 
 
 def _jaccard(x, y, span: int, percent: int):
@@ -218,13 +219,13 @@ def _compare(x, xa, xb, y, ya, yb, more, size: int, k: int, percent: int):
         a, b, c = known.strides
         known = np.lib.stride_tricks.as_strided(known, (len(ask), span, span), (a, b + c, c))  # paragraph r, shingle r + j
         values = np.lib.stride_tricks.sliding_window_view(y[ask], span, axis=1)
-        left = np.where(known, _GONE, values)
+        left = np.where(known, np.uint32(_GONE), values)
         first = span - need + 1
         left = np.partition(left, first - 1, axis=2)[:, :, :first]
         left[~in_y[ask]] = _GONE
         for j, i in enumerate(ask.tolist()):
             found = np.unique(left[j])
-            tokens[i] = found[(found < _GONE) & (found >= 0)].tolist()
+            tokens[i] = found[(found < _GONE) & (found > _Y)].tolist()
     return good, in_y, tokens
 
 
@@ -234,57 +235,63 @@ def _runs(x):
     return np.stack([np.flatnonzero(d > 0), np.flatnonzero(d < 0)], axis=1).tolist()
 
 
-_MET = "key long, a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, n_b long, mine array<array<int>>, theirs array<array<int>>, open boolean, tokens array<long>"
+_MET = "a long, b long, mine array<array<int>>, theirs array<array<int>>, open boolean, tokens array<long>"
 _INTS = pa.list_(pa.list_(pa.int32()))
-_TYPES = [*[pa.int64()] * 8, _INTS, _INTS, pa.bool_(), pa.list_(pa.int64())]
+_TYPES = [pa.int64(), pa.int64(), _INTS, _INTS, pa.bool_(), pa.list_(pa.int64())]
 
 
 def compare(pairs: DataFrame, ctx: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """pairs: key, a (the pivot), b, more. The paragraphs of each that match, as runs of
-    their numbers, whether one of b's does not, and with ``more`` the shingles by which
-    b is dealt on."""
+    """pairs: a (the pivot), b, more; ctx: id, off, ctx. The paragraphs of each that match,
+    as runs of their numbers, whether one of b's does not, and with ``more`` the shingles
+    by which b is dealt on."""
     span = size - k + 1
-    side = lambda s: ctx.select("key", F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "n", "off", "ctx")])
+    side = lambda s: ctx.select(F.col("id").alias(s), F.col("off").alias(f"off_{s}"), F.col("ctx").alias(f"ctx_{s}"))
 
     def run(batches):
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             for i in range(0, batch.num_rows, CHUNK):
                 part = {c: x.slice(i, CHUNK) for c, x in col.items()}
-                num = {c: part[c].to_numpy() for c in ("off_a", "off_b")}
-                x, xa, xb = _grid(part["ctx_a"].to_pylist(), num["off_a"].astype(np.int64), span, -1)
-                y, ya, yb = _grid(part["ctx_b"].to_pylist(), num["off_b"].astype(np.int64), span, -2)
+                x, xa, xb = _grid(part["ctx_a"].to_pylist(), part["off_a"].to_numpy().astype(np.int64), span, _X)
+                y, ya, yb = _grid(part["ctx_b"].to_pylist(), part["off_b"].to_numpy().astype(np.int64), span, _Y)
                 good, in_y, tokens = _compare(x, xa, xb, y, ya, yb, part["more"].to_numpy(zero_copy_only=False), size, k, percent)
                 runs = [_runs(g) if g.any() else [] for g in good]
                 at = lambda first: [[[s - f, e - f] for s, e in r] for r, f in zip(runs, first.tolist(), strict=True)]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("key", "a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "n_b")], pa.array(at(xa), _INTS), pa.array(at(ya), _INTS), pa.array((in_y & ~good).any(axis=1)), pa.array(tokens, pa.list_(pa.int64()))], schema=pa.schema(list(zip(names, _TYPES, strict=True))))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(at(xa), _INTS), pa.array(at(ya), _INTS), pa.array((in_y & ~good).any(axis=1)), pa.array(tokens, pa.list_(pa.int64()))], schema=pa.schema(list(zip(names, _TYPES, strict=True))))
 
     names = [x.split()[0] for x in _MET.split(", ")]
     small_arrow(ctx.sparkSession)
-    return pairs.join(side("b"), ["key", "b"]).join(side("a"), ["key", "a"]).select("key", "a", "b", "more", "lo_a", "hi_a", "off_a", "ctx_a", "lo_b", "hi_b", "n_b", "off_b", "ctx_b").mapInArrow(run, _MET)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "more", "off_a", "ctx_a", "off_b", "ctx_b").mapInArrow(run, _MET)
 
 
 def _levels(ctx: DataFrame, size: int, k: int, percent: int):
     """The comparisons of every round, each a durable table. A group has one pivot
-    in the first round and up to twice as many in each that follows: the best of each
-    of so many parts. What is left of a group is dealt on by what its first pivot lacks."""
-    rows = ctx.select(F.col("key").alias("g"), "key", "cls", "lo", "hi", "n", F.lit(True).alias("open"))
-    pivots = 1
+    in the first round and up to four times as many in each that follows: the best of each
+    of so many parts. What is left of a group is dealt on by what its first pivot lacks;
+    of groups with the same members one is enough."""
+    about = ctx.select("id", "lo", "hi", "n")
+    rows, pivots, held = ctx.select(F.col("key").alias("g"), "id", F.lit(True).alias("open"), "lo", "hi", "n"), 1, None
     while True:
-        best = rows.groupBy("g", F.pmod(F.xxhash64("cls"), F.lit(pivots)).alias("part")).agg(F.count("*").alias("size"), F.min(F.struct(~F.col("open"), -F.col("n"), "lo", "cls")).alias("first"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("open").alias("some"))
-        best = best.groupBy("g").agg(F.sum("size").alias("size"), F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"), F.collect_list("first.cls").alias("pivots"))
-        best = best.where("size > 1 and least < most and some").select("g", "pivots", F.col("first.cls").alias("first"), (F.col("size") - F.size("pivots") > 1).alias("more"))
-        pairs = rows.join(best, "g").withColumn("pivot", F.array_contains("pivots", F.col("cls"))).withColumn("a", F.explode("pivots")).where("a <> cls and (not pivot or a < cls)")
-        pairs = durable(pairs.groupBy("key", "a", F.col("cls").alias("b")).agg(F.max(F.expr("more and not pivot and a = first")).alias("more")))
+        best = rows.groupBy("g", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")).agg(F.count("*").alias("size"), F.min(F.struct(~F.col("open"), -F.col("n"), "lo", "id")).alias("first"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("open").alias("some"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
+        best = best.groupBy("g").agg(F.sum("size").alias("size"), F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_list("first.id").alias("pivots"))
+        best = best.where("size > 1 and least < most and some")
+        if held is not None:
+            best = best.groupBy("x", "y", "size").agg(F.min(F.struct("g", "first", "pivots")).alias("b")).select("size", "b.*")
+        best = best.select("g", "pivots", F.col("first.id").alias("first"), (F.col("size") - F.size("pivots") > 1).alias("more"))
+        met = rows.join(best, "g").withColumn("pivot", F.array_contains("pivots", F.col("id"))).withColumn("a", F.explode("pivots")).where("a <> id and (not pivot or a < id)")
+        pairs = durable(met.groupBy("a", F.col("id").alias("b")).agg(F.max(F.expr("more and not pivot and a = first")).alias("more")))
         if not pairs.take(1):
-            release(pairs)
+            release(*[x for x in (pairs, held) if x is not None])
             return
-        met = durable(compare(pairs, ctx, size, k, percent))
-        release(pairs)
-        yield met
-        rows = met.select("key", "a", F.col("b").alias("cls"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"), F.col("n_b").alias("n"), "open", F.explode("tokens").alias("t"))
-        rows = rows.select(F.xxhash64("key", "a", "t").alias("g"), "key", "cls", "lo", "hi", "n", "open")
-        pivots = min(2 * pivots, MOST_PIVOTS)
+        found = durable(compare(pairs, ctx, size, k, percent))
+        release(*[x for x in (pairs, held) if x is not None])
+        yield found
+        # A shingle that no other class of the group has leaves no row.
+        dealt = found.select(F.col("b").alias("id"), "open", "a", F.explode("tokens").alias("t")).select(F.xxhash64("a", "t").alias("g"), "id", "open")
+        shared = dealt.select("g").groupBy("g").count().where("count > 1").select("g")
+        held = durable(dealt.join(shared, "g"))
+        rows = held.join(about, "id")
+        pivots = min(4 * pivots, MOST_PIVOTS)
 
 
 def _span(pos, x: str, size: int):
@@ -303,15 +310,18 @@ def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = P
     classes = live.groupBy("key", "cls").agg(F.min(F.struct("doc", "v", "pos")).alias("at"), F.max("doc").alias("hi"), F.first("m").alias("m"), F.first("off").alias("off"), F.sum("reps").alias("n"))
     classes = durable(classes.select("key", "cls", F.col("at.doc").alias("lo"), F.col("at.v").alias("v"), F.col("at.pos").alias("pos"), "m", "off", "hi", "n"))
     several = classes.groupBy("key").count().where("count > 1").select("key")
-    ctx = durable(contexts(classes.join(several, "key"), docs, size, k))
+    ctx = contexts(classes.join(several, "key"), docs, size, k)
+    ctx = durable(ctx.withColumn("id", F.monotonically_increasing_id()))
     hits = [classes.where("lo < hi").select("key", "cls", F.array(F.array(F.lit(0), "m")).alias("runs"), F.col("lo").alias("low"), F.col("hi").alias("high"))]
     links = [live.select("key", "cls", "doc").join(classes.where("lo < hi").select("key", "cls", "lo"), ["key", "cls"]).where("doc <> lo").select(F.col("doc").alias("u"), F.col("lo").alias("v")).distinct()]
     rounds = []
+    side = lambda s, *more: ctx.select(F.col("id").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in more])
     for met in _levels(ctx, size, k, percent):
-        rounds.append(met)
-        some = met.where("size(mine) > 0")
-        hits += [some.select("key", F.col("b").alias("cls"), F.col("theirs").alias("runs"), F.col("lo_a").alias("low"), F.col("hi_a").alias("high")), some.select("key", F.col("a").alias("cls"), F.col("mine").alias("runs"), F.col("lo_b").alias("low"), F.col("hi_b").alias("high"))]
+        some = durable(met.where("size(mine) > 0").select("a", "b", "mine", "theirs").join(side("b", "key", "cls"), "b").join(side("a", "cls"), "a").drop("a", "b"))
+        rounds.append(some)
+        hits += [some.select(F.col("key_b").alias("key"), F.col("cls_b").alias("cls"), F.col("theirs").alias("runs"), F.col("lo_a").alias("low"), F.col("hi_a").alias("high")), some.select(F.col("key_b").alias("key"), F.col("cls_a").alias("cls"), F.col("mine").alias("runs"), F.col("lo_b").alias("low"), F.col("hi_b").alias("high"))]
         links.append(some.where("lo_a <> lo_b").select(F.col("lo_a").alias("u"), F.col("lo_b").alias("v")))
+        rounds.append(met)
     for parts in (hits, links):
         while len(parts) > 1:
             parts[-2:] = [parts[-2].union(parts[-1])]

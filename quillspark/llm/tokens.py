@@ -8,16 +8,17 @@ is updated after each step and thus follows from what has been decoded.
 The model predicts the next id from its order-2 context (two ids before it) or,
 without one, from order 1; how often predictions of that confidence came true at
 order 2 and order 1 and how frequent the id is at order 0 are mixed by learned
-weights into the probability of a hit. A miss is coded by the adaptive order-0
-frequencies. All arithmetic is on integers, so any machine decodes any file.
+weights into the probability of a hit. A miss excludes the candidate and is coded by the adaptive
+order-0 frequencies of the others. All arithmetic is on integers, so any machine decodes any file.
 
 Carries are kept in wide digits and resolved when a block ends. Edge cases: null
 and empty texts are the end id alone; an empty table gives no blocks; rows that
-repeat a doc_id follow each other in order of their text; a damaged block raises
+repeat a doc_id follow each other in order of a hash of their text; a damaged block raises
 ``DamagedBlock`` and leaves others readable."""
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -25,10 +26,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _inv, _pow, checkpoint_dir, mix64, read, small_arrow, text_blocks
+from .common import _inv, _pow, checkpoint_dir, durable, mix64, read, small_arrow, text_blocks
 
 LANES, STEPS = 4096, 128
 BLOCK = LANES * STEPS
@@ -36,6 +37,8 @@ END_ID = 0
 MAGIC = b"QTK1"
 _HEAD = struct.Struct("<4sIIIIIIII")  # magic, ids, documents, lanes, vocabulary, bytes of documents, of digits, crc of ids, crc of the rest
 SEPARATOR = b"\n"
+#: Bytes of text of a file, about.
+RANGE_BYTES = 64 << 20
 _LOW = np.uint64((1 << 40) - 1)
 _MIN = np.uint64(1 << 40)
 _TOP = np.uint64(1 << 56)
@@ -99,6 +102,12 @@ class _Mixer:
         self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
         return self.candidate, self.p
 
+    def without(self, tried: np.ndarray, ids: np.ndarray):
+        """(ids, their first cumulative count, count left out) after tried (or -1) has
+        been excluded from order 0."""
+        gone = np.where(tried >= 0, self.count[tried], 0)
+        return ids, self.cumulative[ids] - np.where(tried < ids, gone, 0), gone
+
     def update(self, ids: np.ndarray, n: int):
         some = self.candidate >= 0
         hit = (ids == self.candidate) & some
@@ -159,9 +168,9 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
         lo = lo + np.where(hit, np.uint64(0), cut)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            got = now[miss]
-            r = sp[miss] // np.uint64(model.total)
-            lo[miss] += r * _u(model.cumulative[got])
+            got, first, gone = model.without(candidate[miss], now[miss])
+            r = sp[miss] // _u(model.total - gone)
+            lo[miss] += r * _u(first)
             sp[miss] = r * _u(model.count[got])
         # Digits are of 16 bits and a carry.
         while len(todo := np.flatnonzero(sp < _MIN)):
@@ -229,11 +238,14 @@ def decode_ids(data: bytes, n_ids: int, lanes: int, vocabulary: int) -> np.ndarr
         now = np.where(hit, candidate, 0).astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            r = sp[miss] // np.uint64(model.total)
-            value = np.minimum(co[miss] // r, np.uint64(model.total - 1)).astype(np.int64)
-            got = np.searchsorted(model.cumulative, value, "right") - 1
+            tried = candidate[miss]
+            gone = np.where(tried >= 0, model.count[tried], 0)
+            r = sp[miss] // _u(model.total - gone)
+            value = np.minimum((co[miss] // r).astype(np.int64), model.total - gone - 1)
+            value += np.where((tried >= 0) & (value >= model.cumulative[tried]), gone, 0)
+            got, first, _ = model.without(tried, np.searchsorted(model.cumulative, value, "right") - 1)
             now[miss] = got
-            co[miss] -= r * _u(model.cumulative[got])
+            co[miss] -= r * _u(first)
             sp[miss] = r * _u(model.count[got])
         while len(todo := np.flatnonzero(sp < _MIN)):
             co[todo] = (co[todo] << _16) | following(todo)
@@ -290,8 +302,10 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # Added tokens are cut out before pre-tokens: a text that may hold one is read whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.hard = "|".join([_HARD, *(re.escape(x) for x in added)])
         # The byte-level alphabet: printable bytes as they are, others from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -362,7 +376,7 @@ class Pieces:
     def batch(self, column) -> list[np.ndarray]:
         if column.null_count:
             column = column.fill_null("")
-        hard = pc.match_substring_regex(column, _HARD)
+        hard = pc.match_substring_regex(column, self.hard)
         easy = pc.if_else(hard, "", column)
         out = [x for w in text_blocks(easy, _ANY) for x in self.slice(w)]
         for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
@@ -403,8 +417,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
         if size or table:
             yield pa.RecordBatch.from_arrays([pa.array([pack_block(np.concatenate(waiting), np.array(table, np.int64).reshape(-1, 3), pieces.vocabulary)], pa.binary())], ["block"])
 
-    small_arrow(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    small_arrow(spark)
+    # A range is a file and is read as a whole: ranges follow the bytes of text. The
+    # hash lets one doc_id, or none, take several.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     dealt.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
 
@@ -440,15 +459,11 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    from .common import durable
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = durable(files.mapInArrow(parse, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"))
-    from pyspark.sql import Window
-
     # A row a file: part numbers follow the order of doc_id.
-    sizes = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    sizes = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return found.join(before, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -167,17 +167,35 @@ def test_boundaries_are_optimal():
 
 
 def test_packing_places(spark, odd, empty):
-    rows = packing.pack(odd.select("doc_id", "text"), token_budget=8192).collect()
-    assert len({(r.bucket, r.batch, r.place) for r in rows}) == len(rows) and {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()}
+    path = packing.default_tokenizer()
+    pieces = tokens.Pieces(path)
+    lengths = packing.token_lengths(odd, path)
+    rows = packing.pack(lengths, token_budget=8192).collect()
+    own = sorted((r.doc_id is not None, r.doc_id or 0, len(pieces.whole(r.text or "")) + 1) for r in odd.collect())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in rows if not r.segment) == own
+    assert sum(r.length for r in rows) == sum(n for *_, n in own) and all(r.length <= 4096 for r in rows)
+    assert len({(r.bucket, r.batch, r.place) for r in rows}) == len(rows)
+    ends = {r.bucket_length for r in rows}
     for r in rows:
-        assert r.length <= r.bucket_length and (r.place + 1) * r.bucket_length <= max(8192, r.bucket_length)
+        assert r.bucket_length == min(e for e in ends if e >= r.length) and (r.place + 1) * r.bucket_length <= max(8192, r.bucket_length)
     for b in {r.bucket for r in rows}:
         size = {}
         for r in rows:
             if r.bucket == b:
                 size[r.batch] = size.get(r.batch, 0) + 1
         assert sorted(size) == list(range(len(size))) and all(size[k] == size[0] for k in range(len(size) - 1))
-    assert packing.pack(empty.select("doc_id", "text")).count() == 0
+    assert packing.pack(packing.token_lengths(empty, path)).count() == 0
+
+
+def test_packed_batches_hold_the_ids(spark, odd):
+    path = packing.default_tokenizer()
+    pieces, docs = tokens.Pieces(path), odd.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    out = packing.batch_ids(docs, packing.pack(packing.token_lengths(docs, path), max_len=512), path, max_len=512).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r.segment):
+        assert len(r.ids) == r.bucket_length and not any(r.ids[r.length :])
+        got.setdefault((r.doc_id, r.n_tokens), []).extend(r.ids[: r.length])
+    assert got == {(r.doc_id, len(x) + 1): [*x, 0] for r in docs.collect() for x in [pieces.whole(r.text or "").tolist()]}
 
 
 def test_quality_is_native_and_total(odd, empty):
@@ -245,47 +263,115 @@ def test_substring_finds_every_copy_in_a_document(spark):
     assert [(i, c) for i, cs in copies.items() for c in cs if not any(a <= c[0] and c[1] <= b for a, b in got.get(i, []))] == []
 
 
-def _inserted(r, n):
-    """Two texts with a passage of n words, the second with a word more in it."""
-    passage, at = words(r, n, 10**6).split(), r.randrange(1, n)
-    return [" ".join([words(r, r.randrange(60), 10**6), *p, words(r, r.randrange(60), 10**6)]) for p in (passage, [*passage[:at], "inserted", *passage[at:]])]
+def _edited(r, n, kind):
+    """Two texts with a passage of n words, the second with one word changed."""
+    passage = words(r, n, 10**6).split()
+    at, other = r.randrange(1, n - 1), passage[:]
+    if kind == "substituted":
+        other[at] = "x"
+    elif kind == "inserted":
+        other.insert(at, "x")
+    elif kind == "deleted":
+        del other[at]
+    elif kind == "moved":
+        other[at], other[at + 1] = other[at + 1], other[at]
+    return [" ".join([words(r, r.randrange(60), 10**6), *p, words(r, r.randrange(60), 10**6)]) for p in (passage, other)]
+
+
+def _paragraphs(text):
+    w = (text or "").split()
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    return [set(grams[i : i + 46]) for i in range(len(grams) - 45)]
+
+
+def _alike(x, y):
+    return 100 * len(x & y) >= 80 * len(x | y)
+
+
+def test_substring_finds_every_kind_of_edit(spark):
+    r, texts, true = random.Random(7), {}, {}
+    for kind, n in itertools.product(("substituted", "inserted", "deleted", "moved"), (50, 52, 60, 100)):
+        for _ in range(60):
+            a, b = _edited(r, n, kind)
+            i = len(texts)
+            texts |= {i: a, i + 1: b}
+            x, y = _paragraphs(a), _paragraphs(b)
+            if any(_alike(x[p], y[q]) for p in range(len(x)) for q in range(max(0, len(y))) if x[p] & y[q]):
+                true.setdefault((kind, n), []).append(i + 1)
+    got = {x.doc_id for x in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("size(removed) > 0").collect()}
+    assert got <= {i for found in true.values() for i in found} and sum(map(len, true.values())) > 700
+    assert {k: len(got & set(v)) / len(v) for k, v in true.items() if len(got & set(v)) < 0.9 * len(v)} == {}
 
 
-def test_substring_match_is_brute_force_around_a_place():
+def test_substring_comparison_is_brute_force():
     r, span, found = random.Random(6), 46, 0
-    for n in [*range(50, 61)] * 12:
+    for n in [*range(50, 61)] * 8:
+        texts = _edited(r, n, r.choice(("inserted", "substituted", "deleted")))
+        if n % 3 == 0:
+            texts = [t + " " + " ".join(["again"] * r.randrange(60)) for t in texts]
         number = {}
-        own, other = (np.array([number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)], np.uint64) for w in map(str.split, _inserted(r, n)))
+        own, other = ([number.setdefault(tuple(w[i : i + 5]), 2 + len(number)) for i in range(len(w) - 4)] for w in map(str.split, texts))
         p = r.choice([i for i in range(len(own)) if own[i] in other])
-        q = int(np.flatnonzero(other == own[p])[0])
-        mine, theirs = np.zeros(len(own) + 4, bool), np.zeros(len(other) + 4, bool)
-        for a in range(max(0, p - span + 1), min(p, len(own) - span) + 1):
-            b = a + q - p
-            if 0 <= b <= len(other) - span:
-                x, y = set(own[a : a + span].tolist()), set(other[b : b + span].tolist())
-                if 100 * len(x & y) >= 80 * len(x | y):
-                    mine[a : a + 50] = theirs[b : b + 50] = True
-        got = substring_dedup._match(own, other, np.array([[p, q]]), 50, 5, 80)
-        assert got[2][0] == mine.any() and not (mine & ~got[0]).any() and not (theirs & ~got[1]).any()
-        found += mine.any()
-    assert found > 100
-
-
-def test_substring_finds_near_repeats(spark):
-    r, texts = random.Random(7), {}
-    for n in [50, 51, 52, 55, 60] * 60:
-        for t in _inserted(r, n):
-            texts[len(texts)] = t
-    got = {x.doc_id for x in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("size(removed) > 0").collect()}
-    assert len(got) >= 0.95 * 300
-
-
-def test_substring_alignments_of_all_places():
-    own, other = (np.array(x, np.uint64) for x in ([1, 2, 3, 2, 9], [2, 7, 2, 3, 2]))
-    pairs = np.array([[1, 0], [2, 3]])
-    grams = np.unique(own[pairs[:, 0]])
-    got = substring_dedup._shifts(own, other, pairs, substring_dedup._numbers(grams, own), substring_dedup._numbers(grams, other))
-    assert got.tolist() == [-3, -1, 1, 3]
+        q = other.index(own[p])
+        grids, ends = [], []
+        for s, at in ((own, p), (other, q)):
+            lo, hi = max(0, at - span + 1), min(at, len(s) - span)
+            ends.append((lo - at + span - 1, hi - at + span))
+            grids.append(np.full((1, 2 * span - 1), len(grids), np.uint32))
+            if hi >= lo:
+                grids[-1][0, ends[-1][0] : ends[-1][0] + hi - lo + span] = s[lo : hi + span]
+        x, y = (np.array([e]) for e in ends)
+        good, _, tokens = substring_dedup._compare(grids[0], x[:, 0], x[:, 1], grids[1], y[:, 0], y[:, 1], np.array([True]), 50, 5, 80)
+        for c in range(span):
+            inside = all(a <= c < b for a, b in ends)
+            u, v = (set(g[0, c : c + span].tolist()) for g in grids)
+            assert good[0, c] == (inside and _alike(u, v))
+            if len(v) == span and ends[1][0] <= c < ends[1][1]:
+                lacks = sorted(v - u) if ends[0][0] <= c < ends[0][1] else sorted(v)
+                assert set(lacks[:6]) <= set(tokens[0])
+        found += good.any()
+    assert found > 50
+
+
+def test_substring_families_against_brute_force(spark):
+    """Texts of many edited copies, common lines and words many times over."""
+    r, texts = random.Random(9), {}
+    line, base = words(r, 13, 10**6), words(r, 150, 10**6).split()
+    for i in range(60):
+        w = base[:]
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = f"e{r.randrange(30)}"
+        part = w[r.randrange(60) : r.randrange(90, 150)] if i % 3 else ["the"] * r.randrange(1, 90)
+        texts[i] = " ".join([words(r, r.randrange(50), 10**6), line, *part, line, words(r, r.randrange(50), 10**6)])
+    pars = {i: _paragraphs(t) for i, t in texts.items()}
+    got = {x.doc_id: x for x in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    lost, n, seen = 0, 0, {}
+    for i, t in texts.items():
+        may = [p for p, x in enumerate(pars[i]) if any(_alike(x, y) for j in range(i) for y in pars[j] if x & y)]
+        may_words = {q for p in may for q in range(p, p + 50)}
+        removed = {q for a, b in (got[i].removed if i in got else []) for q in range(a, b)}
+        assert removed <= may_words
+        lost, n = lost + len(may_words - removed), n + len(may_words)
+        w = t.split()
+        for p in range(len(w) - 49):
+            key = tuple(w[p : p + 50])
+            assert key not in seen or seen[key] == i or set(range(p, p + 50)) <= removed
+            seen.setdefault(key, i)
+    assert n > 2000 and lost < 0.05 * n
+
+
+def test_repeated_ids_keep_their_links(spark):
+    r = random.Random(11)
+    a, b, c = (words(r, 120, 10**6).split() for _ in range(3))
+    near = b[:]
+    near[3] = "x"
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (3, " ".join(near)), (5, " ".join(c)), (7, words(r, 100, 10**6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in ngram_join.similarity_classes(docs).collect()} == {(1, 1), (3, 1), (5, 1), (7, 7)}
+    got = {(x.doc_id, x.component_id) for x in substring_dedup.repeats(docs).collect()}
+    assert got == {(1, 1), (3, 1), (5, 1)}
+    out = {(x.doc_id, x.text) for x in substring_dedup.remove(docs).collect()}
+    assert {t for i, t in out if i == 1} == {t for i, t in rows if i == 1} and not any(i == 5 for i, _ in out) and (7, rows[5][1]) in out
 
 
 def _brute(texts):
@@ -301,7 +387,7 @@ def _brute(texts):
     return {i: (len(sets[i]), label[i]) for i in texts}
 
 
-@pytest.mark.parametrize("hot,residual", [(20, 64), (1, 0)])
+@pytest.mark.parametrize("hot,residual", [(20, 64), (1, 0), (10**9, 0.001)])
 def test_jaccard_classes_against_brute_force(spark, monkeypatch, hot, residual):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "RESIDUAL", residual)
