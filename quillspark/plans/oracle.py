@@ -116,7 +116,7 @@ SQL = {
     "landmarks": rf"""WITH {STRUCTURED_SQL}, l AS ({_LINES} structured) SELECT doc_id, cast(i AS INT) AS i, CASE WHEN regexp_matches({trim("s")}, '^#\s+') THEN 'TITLE' ELSE 'SECTION_HEADING' END AS kind FROM l WHERE regexp_matches({trim("s")}, '^#{{1,6}}\s+')""",
     "corrections_merge": f"""WITH l AS ({_LINES} documents) SELECT doc_id, CASE WHEN (doc_id + i) % 4 = 0 THEN 'APPENDIX' ELSE 'BODY' END AS label, count(*) AS n FROM l GROUP BY ALL""",
     "heading_fuzzy_match": f"""WITH l AS ({_LINES} documents), n AS (SELECT doc_id, left(s, 12) AS name FROM l WHERE i = 1 AND length(s) > 12)
-      SELECT n.doc_id, name, arg_min(s, CASE WHEN s = name THEN -1 ELSE i END) AS heading FROM n JOIN l ON n.doc_id = l.doc_id AND i < 5 AND s <> '' AND (starts_with(s, name) OR starts_with(name, s)) GROUP BY ALL""",
+      SELECT n.doc_id, name, arg_min(s, CASE WHEN s = name THEN -1 ELSE i END) AS heading FROM n JOIN l ON n.doc_id = l.doc_id AND s <> '' AND (starts_with(s, name) OR starts_with(name, s)) GROUP BY ALL""",
     "toc_pages": f"WITH l AS ({_LINES} documents) SELECT doc_id, bool_or(i = 1 AND doc_id % 3 = 0) AS has_toc FROM l WHERE i < 4 GROUP BY doc_id",
     "strip_reinsert_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "chunk_previews": f"SELECT doc_id, md5(CASE WHEN {words('text')} <= 100 THEN replace(text, chr(10), ' | ') ELSE left(text, 300) END) AS preview_md5 FROM documents",
@@ -130,4 +130,52 @@ SQL = {
     "layout_body_font": f"""WITH l AS ({_LINES} documents), t AS (SELECT doc_id, i, {trim("CASE WHEN i % 7 = 0 THEN left(s, 40) ELSE s END")} AS t, CASE WHEN i % 7 = 0 THEN 16.0 WHEN i % 20 >= 17 AND i % 9 = 0 THEN 8.0 ELSE 11.0 END::DOUBLE AS size FROM l WHERE s <> ''),
       g AS (SELECT doc_id, size, sum(length(t)) AS n, min(i) AS f FROM t WHERE length(t) >= 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS k FROM g)
       SELECT doc_id, size AS body, size - 1.5 AS footnote, size - 3.0 AS superscript FROM r WHERE k = 1""",
+    "region_counts": f"WITH l AS ({_LINES} documents) SELECT doc_id, CASE i % 10 WHEN 0 THEN 'PageHeader' WHEN 1 THEN 'SectionHeader' WHEN 9 THEN 'Footnote' ELSE 'Text' END AS label, count(*) AS n FROM l GROUP BY ALL",
+    "similarity_summary": """WITH s AS (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+      SELECT count(*) AS n, count(*) FILTER (x < 0.75) AS n_flagged, round(avg(x), 5) AS mean FROM s""",
+    "by_suffix": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' END AS kind FROM documents",
+    "metadata": """WITH r AS (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN 'SOME TITLE' WHEN 1 THEN 'file.pdf' WHEN 2 THEN ' A Title ' END) AS t,
+        trim(CASE doc_id % 5 WHEN 0 THEN 'ADOBE' WHEN 1 THEN 'William Wordsworth' WHEN 2 THEN 'JANE DOE' WHEN 3 THEN '' ELSE 'User' END) AS a FROM documents),
+      c AS (SELECT *, array_to_string(list_transform(string_split(lower(t), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS ti, array_to_string(list_transform(string_split(lower(a), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS ai FROM r)
+      SELECT doc_id, CASE WHEN t = '' OR ends_with(t, '.pdf') OR ends_with(t, '.PDF') THEN NULL WHEN upper(t) = t AND length(t) > 5 THEN ti ELSE t END AS title,
+        CASE WHEN a = '' OR lower(a) IN ('acrobat', 'adobe', 'microsoft', 'scanner', 'unknown', 'user') THEN NULL WHEN upper(a) = a AND length(a) > 2 THEN ai ELSE a END AS author FROM c""",
+    "verify_results": f"WITH l AS ({_LINES} documents) SELECT doc_id, cast(i AS INT) AS chunk_id, i % 2 = 0 OR {trim('s')} = 'other' AS clean FROM l WHERE s <> ''",
+    "result_summary": f"""WITH l AS ({_LINES} documents), w AS (SELECT doc_id, i, {words("s")} AS n FROM l WHERE s <> '')
+      SELECT doc_id, count(*) AS n_chunks, round(avg(n / (n + 1)), 6) AS mean_ratio, count(*) FILTER (i % 3 = 0) AS n_retried, count(*) FILTER (i % 2 <> 0) AS n_flagged FROM w GROUP BY doc_id""",
+    "classify_segments": f"WITH l AS ({_LINES} documents) SELECT doc_id, cast(i AS INT) AS idx, CASE WHEN length(left(s, 200)) % 2 = 0 THEN 'SHORT' ELSE 'LONG' END AS label FROM l WHERE s <> ''",
+    "classify_chunks": f"""WITH l AS ({_LINES} documents), p AS (SELECT doc_id, i, CASE WHEN {words("s")} <= 100 THEN s ELSE left(s, 300) END AS v, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM l WHERE s <> '')
+      SELECT doc_id, cast(i AS INT) AS chunk_id, CASE WHEN k % 4 = 3 THEN 'APPENDIX' WHEN length(v) % 2 = 0 THEN 'BODY' ELSE 'REFERENCES' END AS section_type FROM p""",
+    "fragment_boundaries": f"""WITH l AS ({_LINES} documents), p AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l WHERE s <> ''),
+      m AS (SELECT doc_id, s, nxt IS NOT NULL AND length(right(s, 80) || ' | ' || left(nxt, 80)) % 2 = 1 AS merged FROM p)
+      SELECT doc_id, count(*) FILTER (NOT merged) AS n, cast(sum(length(s)) + count(*) FILTER (merged) AS BIGINT) AS n_chars FROM m GROUP BY doc_id""",
+    "meta_commentary": rf"""WITH l AS ({_LINES} documents), f AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '[.!?]\s') THEN regexp_extract(s, '^(.*?[.!?])\s', 1) ELSE s END AS v FROM l WHERE s <> '')
+      SELECT doc_id, cast(i AS INT) AS idx, {words("v")} >= 5 AND length(v) % 2 = 1 AS meta FROM f""",
+    "scan_front": f"""WITH l AS ({_LINES} documents), p AS (SELECT doc_id, count(*) FILTER (i < 5) AS n, max(CASE WHEN i = 0 THEN CASE WHEN {trim("s")} = '' THEN '[BLANK PAGE]' ELSE left({trim("s")}, 800) END END) AS f FROM l GROUP BY doc_id)
+      SELECT doc_id, left(f, 20) AS title, cast(CASE WHEN length(f) % 2 = 1 THEN n ELSE 1 END AS INT) AS body_starts_at_page FROM p""",
+    "scan_back": f"WITH l AS ({_LINES} documents), p AS (SELECT doc_id, least(5, count(*)) AS n FROM l GROUP BY doc_id) SELECT doc_id, n % 2 = 0 AS has_references, cast(n AS INT) AS starts_at FROM p",
+    "section_starters": rf"""WITH {STRUCTURED_SQL}, p AS (SELECT doc_id, unnest({paras("text")}) AS p, unnest(range(len({paras("text")}))) AS j FROM structured),
+      f AS (SELECT doc_id, j, regexp_replace(left({trim("string_split(p, chr(10))[1]")}, 100), '^#{{1,6}}\s+', '') AS s FROM p),
+      k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM f WHERE length(s) > 1)
+      SELECT doc_id, cast(k // CASE WHEN n > 5 THEN n // 5 ELSE 1 END AS INT) AS i, s FROM k WHERE k % CASE WHEN n > 5 THEN n // 5 ELSE 1 END = 0""",
+    "merge_labels_islands": rf"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '[.\n]\s*')) AS s, unnest(range(len(string_split_regex(text, '[.\n]\s*')))) AS i FROM documents),
+      m AS (SELECT doc_id, s, regexp_matches(regexp_replace(s, '^[- •0-9.)]+', ''), '^\p{{Ll}}') AND row_number() OVER (PARTITION BY doc_id ORDER BY i) > 1 AS on_ FROM p WHERE s <> '')
+      SELECT doc_id, count(*) FILTER (NOT on_) AS n_merged, cast(sum(length(s)) + count(*) FILTER (on_) AS BIGINT) AS n_chars FROM m GROUP BY doc_id""",
+    "label_normalise_pad": """SELECT doc_id, array_to_string(list_slice(list_concat(CASE doc_id % 4 WHEN 0 THEN ['BODY', 'FOOTNOTES', 'BODY'] WHEN 1 THEN ['REFERENCES'] WHEN 2 THEN [] ELSE ['APPENDIX', 'BODY', 'BODY', 'VERBATIM', 'BODY', 'BODY'] END,
+      ['BODY', 'BODY', 'BODY', 'BODY', 'BODY']), 1, doc_id % 5), ',') AS labels FROM documents""",
+    "line_corrections": f"""WITH l AS ({_LINES} documents), c AS (SELECT doc_id, i + doc_id % 2 AS ci, s AS original, CASE WHEN i = 2 THEN 'REMOVE' ELSE 'fixed' END AS fixed FROM l WHERE i IN (2, 4)),
+      a AS (SELECT c.doc_id, ci, min(fixed) AS fixed, arg_min(l.i, CASE WHEN l.i = ci THEN -1 ELSE l.i END) AS line FROM c JOIN l ON c.doc_id = l.doc_id AND l.s = original GROUP BY c.doc_id, ci, original),
+      f AS (SELECT doc_id, line, arg_max(fixed, ci) AS fixed FROM a GROUP BY ALL)
+      SELECT l.doc_id, md5(string_agg(CASE WHEN fixed = 'REMOVE' THEN '' ELSE coalesce(fixed, s) END, chr(10) ORDER BY i)) AS text_md5 FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.line = l.i GROUP BY l.doc_id""",
+    "generate_toc": rf"""WITH {STRUCTURED_SQL}, l AS ({_LINES} structured), h AS (SELECT doc_id, i, length(regexp_extract(s, '^(#{{2,3}})\s+(.+)$', 1)) AS level, {trim(r"regexp_extract(s, '^(#{2,3})\s+(.+)$', 2)")} AS title FROM l WHERE regexp_matches(s, '^(#{{2,3}})\s+(.+)$')),
+      t AS (SELECT doc_id, '## Table of Contents' || chr(10) || chr(10) || string_agg(repeat('  ', level - 2) || '- [' || title || '](#' || replace(regexp_replace(lower(title), '[^\pL\pN_\s-]', '', 'g'), ' ', '-') || ')', chr(10) ORDER BY i) AS toc FROM h GROUP BY doc_id)
+      SELECT doc_id, {words("toc")} AS n_words, toc FROM t""",
+    "prose_density": rf"""WITH {NOISY_SQL}, p AS (SELECT doc_id, {words("text")} AS n_words, {paras("text")} AS ps FROM noisy),
+      c AS (SELECT doc_id, n_words, coalesce(100.0::DOUBLE * len(list_filter(ps, lambda q: len(list_filter(string_split_regex(q, '[.!?]+'), lambda x: length({trim("x")}) > 10)) >= 2)) / nullif(len(ps), 0), 0) AS prose_percent FROM p)
+      SELECT doc_id, n_words, prose_percent, CASE WHEN n_words < 50 OR (prose_percent < 20 AND n_words > 100) THEN 'fail' WHEN prose_percent < 40 THEN 'warn' ELSE 'pass' END AS verdict FROM c""",
+    "references_start": rf"""WITH l AS ({_LINES} documents), m AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM l),
+      r AS (SELECT doc_id, i, last, unnest(string_split(lower(CASE WHEN i >= last - 1 AND doc_id % 3 = 0 THEN 'References' || chr(10) || s ELSE s END), chr(10))) AS x FROM m WHERE i > last - 5)
+      SELECT doc_id, cast(min(i) AS INT) AS page FROM r WHERE length(trim(x)) <= 40 AND regexp_matches(x, '\breferences\b|\bbibliography\b|\bworks?\s+cited\b|\bliterature\s+cited\b|\bcited\s+works?\b|\bsources\b|\bendnotes\b|\bnotes\s+and\s+references\b|\bfurther\s+reading\b') GROUP BY doc_id""",
+    "simplify_sequential": f"""WITH l AS ({_LINES} documents), p AS (SELECT doc_id, i, s, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM l WHERE s <> '')
+      SELECT doc_id, cast(i AS INT) AS chunk_id, s AS text, coalesce({trim("right(prev, 1500)")}, '') AS bridge FROM p""",
+    "merge_similar": f"WITH l AS ({_LINES} documents) SELECT doc_id, count(*) AS n, cast(sum(length(s)) AS BIGINT) AS n_chars FROM l WHERE s <> '' GROUP BY doc_id",
 }

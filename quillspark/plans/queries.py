@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, ordered_join, paragraphs, sentences, token_count, word_count
-from ..operators import assembly, chunking, cleanup, glossary, layout, profile, quality_checks, rewrite, structure
+from ..operators import assembly, chunking, cleanup, glossary, layout, model, profile, quality_checks, rewrite, structure
 from ..sources import books, html
 from . import book
-from .fixtures import documents, noisy, structured
+from .fixtures import RuleProvider, documents, noisy, structured
 
 
 def q_token_count(spark, d) -> DataFrame:
@@ -319,4 +319,131 @@ def q_references_start(spark, d) -> DataFrame:
     return books.references_start(p)
 
 
+def _pages(spark, d) -> DataFrame:
+    """Lines stand for pages."""
+    return lines(documents(spark, d)).select("doc_id", F.col("i").alias("page"), F.col("s").alias("text"))
+
+
+def q_scan_front(spark, d) -> DataFrame:
+    return model.scan_front(_pages(spark, d), RuleProvider).select("doc_id", "front.title", F.col("front.body_starts_at_page").alias("body_starts_at_page"))
+
+
+def q_scan_back(spark, d) -> DataFrame:
+    return model.scan_back(_pages(spark, d), RuleProvider).select("doc_id", F.col("back.has_references").alias("has_references"), F.col("back.back_matter_starts_at_page").alias("starts_at"))
+
+
+def q_section_starters(spark, d) -> DataFrame:
+    return model.starters(structured(spark, d), 5)
+
+
+def q_section_headings(spark, d) -> DataFrame:
+    return model.section_headings(structured(spark, d), RuleProvider).select("doc_id", F.size("sections").cast("long").alias("n"), F.array_join("sections", "|").alias("sections"))
+
+
+def q_scan_structure(spark, d) -> DataFrame:
+    out = model.scan_structure(structured(spark, d), _pages(spark, d), RuleProvider)
+    return out.select("doc_id", "title", F.array_join("authors", ",").alias("authors"), "has_toc", "body_starts_at_page", "has_references", F.size("sections").cast("long").alias("n_sections"), "total_pages")
+
+
+def _pieces(spark, d) -> DataFrame:
+    return lines(documents(spark, d)).where("s <> ''").select("doc_id", F.col("i").alias("idx"), F.col("s").alias("text"))
+
+
+def q_classify_segments(spark, d) -> DataFrame:
+    return model.classify_segments(_pieces(spark, d), ("SHORT", "LONG"), RuleProvider)
+
+
+def q_classify_chunks(spark, d) -> DataFrame:
+    chunks = _pieces(spark, d).select("doc_id", F.col("idx").alias("chunk_id"), "text")
+    return model.classify_chunks(chunks, RuleProvider).select("doc_id", "chunk_id", "section_type")
+
+
+def q_fragment_boundaries(spark, d) -> DataFrame:
+    pieces = _pieces(spark, d).select("doc_id", F.col("idx").alias("i"), F.col("text").alias("s"))
+    return model.merge_by_labels(pieces, model.fragment_boundaries(pieces, RuleProvider)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+def q_meta_commentary(spark, d) -> DataFrame:
+    return model.meta_commentary(_pieces(spark, d), RuleProvider)
+
+
+def _chapters(spark, d) -> DataFrame:
+    return structure.detect_chapters(structured(spark, d))
+
+
+def q_extract_glossary(spark, d) -> DataFrame:
+    got = model.extract_glossary(_chapters(spark, d), RuleProvider)
+    return got.select("doc_id", F.explode("glossary").alias("term", "definition"))
+
+
+def q_book_summary(spark, d) -> DataFrame:
+    return model.book_summary(_chapters(spark, d), RuleProvider).select("doc_id", "summary")
+
+
+def q_footnote_terms(spark, d) -> DataFrame:
+    chunks = _pieces(spark, d).select("doc_id", F.col("idx").alias("chunk_id"), "text")
+    return model.footnotes(chunks, RuleProvider)
+
+
+def q_concept_map_place(spark, d) -> DataFrame:
+    """Every second text ends with notes."""
+    notes = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n\n---\n\n## Notes\n\n[^1]: x"))).otherwise(F.col("text"))
+    docs = documents(spark, d).select("doc_id", notes.alias("text"))
+    both = docs.join(model.concept_map(docs, RuleProvider), "doc_id")
+    return both.select("doc_id", F.md5(model.place_concept_map(F.col("text"), F.col("concept_map"))).alias("text_md5"))
+
+
+def q_merge_similar(spark, d) -> DataFrame:
+    rows = _pieces(spark, d).select("doc_id", F.col("idx").alias("i"), F.col("text").alias("s"))
+    return model.merge_similar(rows, None).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+def q_rewrite_paragraphs(spark, d) -> DataFrame:
+    chunks = structured(spark, d).select("doc_id", F.lit(0).alias("chunk_id"), "text")
+    return model.rewrite_paragraphs(chunks, rewrite.EchoProvider).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def q_simplify_sequential(spark, d) -> DataFrame:
+    chunks = _pieces(spark, d).select("doc_id", F.col("idx").alias("chunk_id"), "text")
+    return model.simplify_sequential(chunks, rewrite.EchoProvider)
+
+
+def q_verify_results(spark, d) -> DataFrame:
+    chunks = _pieces(spark, d).select("doc_id", F.col("idx").alias("chunk_id"), "text")
+    return model.verify_results(chunks, chunks.withColumn("simplified_text", F.when(F.col("chunk_id") % 2 == 0, F.col("text")).otherwise("other")), RuleProvider).select("doc_id", "chunk_id", "clean")
+
+
+def q_result_summary(spark, d) -> DataFrame:
+    n = word_count("text")
+    rows = _pieces(spark, d).select("doc_id", (n / (n + 1)).alias("final_ratio"), (F.col("idx") % 3 == 0).alias("was_retried"), (F.col("idx") % 2 == 0).alias("qa_passed"))
+    return model.result_summary(rows)
+
+
+def q_region_counts(spark, d) -> DataFrame:
+    r = lines(documents(spark, d)).select("doc_id", F.expr("case i % 10 when 0 then 'PageHeader' when 1 then 'SectionHeader' when 9 then 'Footnote' else 'Text' end").alias("label"))
+    return model.region_counts(r)
+
+
+def q_similarity_summary(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return model.similarity_summary(quality_checks.similarity_flags(e.join(nxt, "vec_id"), "embedding", "b"))
+
+
+def q_check_epub(spark, d) -> DataFrame:
+    """Files without chapters: every seventh."""
+    c = lines(noisy(spark, d)).where("doc_id % 7 <> 0").select("doc_id", F.col("s").alias("text"))
+    return profile.check_epub(documents(spark, d), c).select("doc_id", "n_chapters", "n_chars", "passed")
+
+
+def q_by_suffix(spark, d) -> DataFrame:
+    files = documents(spark, d).select("doc_id", F.concat(F.lit("a/b"), "doc_id", F.element_at(F.array(F.lit(".pdf"), F.lit(".EPUB"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("path"))
+    return profile.by_suffix(files).select("doc_id", "kind")
+
+
+def q_metadata(spark, d) -> DataFrame:
+    raw = documents(spark, d).select("doc_id", F.expr("case doc_id % 4 when 0 then 'SOME TITLE' when 1 then 'file.pdf' when 2 then ' A Title ' end").alias("title"), F.expr("case doc_id % 5 when 0 then 'ADOBE' when 1 then 'William Wordsworth' when 2 then 'JANE DOE' when 3 then '' else 'User' end").alias("author"))
+    return books.metadata(raw)
+
+
 QUERIES = {k.removeprefix("q_"): v for k, v in sorted(globals().items()) if k.startswith("q_")}

@@ -19,6 +19,8 @@ from .html import markdown
 # Names of parts of a book that are not chapters.
 SKIP_NAMES = "title|copyright|cover|toc|nav|colophon|dedication|contents"
 REFERENCE_HEADINGS = (r"\breferences\b", r"\bbibliography\b", r"\bworks?\s+cited\b", r"\bliterature\s+cited\b", r"\bcited\s+works?\b", r"\bsources\b", r"\bendnotes\b", r"\bnotes\s+and\s+references\b", r"\bfurther\s+reading\b")
+# Authors that are no persons.
+TOOL_NAMES = ("acrobat", "adobe", "microsoft", "scanner", "unknown", "user")
 SPANS = "doc_id long, page int, page_height double, block int, block_type int, block_y0 double, line int, line_y double, span int, text string, size double, flags int, font string"
 
 
@@ -99,7 +101,7 @@ def references_start(pages: DataFrame, last: int = 5) -> DataFrame:
 def metadata(raw: DataFrame) -> DataFrame:
     """(doc_id, title, author) tidied: no file names, no tools, no capitals only."""
     t, a = F.trim("title"), F.trim("author")
-    title = F.when((t == "") | F.lower(t).endswith(".pdf"), None).when((F.length(t) > 5) & (F.upper(t) == t), F.initcap(t)).otherwise(t)
-    tool = F.lower(a).rlike("acrobat|word|latex|writer|unknown|adobe")
+    title = F.when((t == "") | t.endswith(".pdf") | t.endswith(".PDF"), None).when((F.length(t) > 5) & (F.upper(t) == t), F.initcap(t)).otherwise(t)
+    tool = F.lower(a).isin(*TOOL_NAMES)
     author = F.when((a == "") | tool, None).when((F.length(a) > 2) & (F.upper(a) == a), F.initcap(a)).otherwise(a)
     return raw.select("doc_id", title.alias("title"), author.alias("author"))

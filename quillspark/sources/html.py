@@ -9,41 +9,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SKIP = {"script", "style", "head", "title"}
-_VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
-_BLOCKS = {"p", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "div", "section", "article", "nav", "footer", "header", "main", "aside", "table"}
+_SKIP = {"script", "style", "title"}
+_BLOCKS = {"p", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "div", "section", "article", "nav", "footer", "header", "main", "aside", "table", "body"}
 
 
 class _Markdown(HTMLParser):
+    """Text by blocks. ``kinds`` holds the open blocks, so that a paragraph inside an
+    item or a quote is still one; a block that is not closed ends with its parent."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.text: list[str] = []
-        self.skip = 0
-        self.kind = ""
+        self.kinds: list[str] = []
+        self.skip = ""
 
     def flush(self):
         words = " ".join(x for x in (t.strip() for t in self.text) if x)
         self.text.clear()
-        if words:
-            level = int(self.kind[1]) if re.fullmatch("h[1-6]", self.kind) else 0
-            mark = "#" * level + " " if level else {"li": "- ", "blockquote": "> "}.get(self.kind, "")
-            gap = "\n" if level or self.kind == "p" else ""
-            self.out.append(f"{gap}{mark}{words}{gap}")
-        self.kind = ""
+        if not words:
+            return
+        head = next((k for k in reversed(self.kinds) if re.fullmatch("h[1-6]", k)), "")
+        outer = next((k for k in reversed(self.kinds) if k in ("li", "blockquote")), "")
+        mark = "#" * int(head[1]) + " " if head else {"li": "- ", "blockquote": "> "}.get(outer, "")
+        gap = "\n" if head or (not mark and self.kinds[-1:] == ["p"]) else ""
+        self.out.append(f"{gap}{mark}{words}{gap}")
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
-            self.skip += 1
-        elif tag in _BLOCKS or tag == "li":
+            self.skip = self.skip or tag
+        elif tag in _BLOCKS:
+            self.skip = ""
             self.flush()
-            self.kind = tag
+            if self.kinds and self.kinds[-1] == "p" or self.kinds[-1:] == [tag] == ["li"]:
+                self.kinds.pop()  # their end tags may be left out
+            self.kinds.append(tag)
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCKS or tag == "li":
+        if tag == self.skip:
+            self.skip = ""
+        elif tag in _BLOCKS:
             self.flush()
+            if tag in self.kinds:
+                while self.kinds.pop() != tag:
+                    pass
 
     def handle_data(self, data):
         if not self.skip:

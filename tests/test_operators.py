@@ -61,7 +61,7 @@ def test_elements_round_trip():
 def test_footnotes_longer_terms_first(spark):
     df = docs(spark, "The law of value and the law.").withColumn("notes", F.create_map(F.lit("law"), F.lit("l"), F.lit("law of value"), F.lit("v")))
     text = assembly.insert_footnotes(df).first().text
-    assert "[^1]: **law of value**: v" in text and "[^2]: **law**: l" in text
+    assert "[^1]: **law of value** — v" in text and "[^2]: **law** — l" in text
 
 
 def test_realign_rounds_half_even_and_keeps_all(spark):
