@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op9_warc": warc.OP9_SQL,
     "op10_ngram_jaccard": ngram_join.OP10_SQL,
 }

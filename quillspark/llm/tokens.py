@@ -68,9 +68,9 @@ class _Mixer:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.count = np.ones(vocabulary, np.int64)
-        self.total, self.held, self.steps = vocabulary, [], 0
-        self.next1, self.next2 = np.full(vocabulary + 1, -1, np.int32), np.full(_H2, -1, np.int32)
-        self.sure1, self.sure2 = np.zeros(vocabulary + 1, np.int8), np.zeros(_H2, np.int8)
+        self.held, self.steps = [], 0
+        # The id that followed and, in the lowest bits, how sure that is.
+        self.next1, self.next2 = np.full(vocabulary + 1, -_STATES, np.int32), np.full(_H2, -_STATES, np.int32)
         self.hits = [np.full(_STATES, 2, np.int64) for _ in range(2)]
         self.seen = [np.full(_STATES, 4, np.int64) for _ in range(2)]
         # Fixed-point weights of order 2, 1 and 0, by whether the orders agree.
@@ -83,13 +83,14 @@ class _Mixer:
     def _sum(self):
         self.cumulative = np.zeros(len(self.count) + 1, np.int64)
         np.cumsum(self.count, out=self.cumulative[1:])
+        self.total = int(self.cumulative[-1])
 
     def predict(self, n: int):
         """(candidate or -1, probability of a hit in 65536ths) of lanes 0..n-1."""
         b1, b2 = self.before1[:n], self.before2[:n]
         self.h2 = ((b2 * 0x9E3779B1 + b1 * 0x85EBCA6B) >> 7) & (_H2 - 1)
-        self.c1, self.c2 = self.next1[b1], self.next2[self.h2]
-        self.s1, self.s2 = self.sure1[b1], self.sure2[self.h2]
+        n1, n2 = self.next1[b1], self.next2[self.h2]
+        self.c1, self.c2, self.s1, self.s2 = n1 >> 3, n2 >> 3, n1 & 7, n2 & 7
         odds = [_STRETCH[np.minimum(4095, (h << 12) // s)] for h, s in zip(self.hits, self.seen, strict=True)]
         two = self.c2 >= 0
         self.candidate = np.where(two, self.c2, self.c1)
@@ -109,29 +110,26 @@ class _Mixer:
         return ids, self.cumulative[ids] - np.where(tried < ids, gone, 0), gone
 
     def update(self, ids: np.ndarray, n: int):
-        some = self.candidate >= 0
-        hit = (ids == self.candidate) & some
-        error = np.where(some, (hit << 16) - self.p, 0)
-        seen = np.bincount(self.kind, minlength=4) + 64
-        for k in range(3):
-            self.weights[k] += np.bincount(self.kind, error * self.x[k], minlength=4).astype(np.int64) // (seen * 512)
-        np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
-        for k, (c, s) in enumerate(((self.c1, self.s1), (self.c2, self.s2))):
-            known, right = c >= 0, c == ids
-            self.seen[k] += np.bincount(s[known], minlength=_STATES)
-            self.hits[k] += np.bincount(s[right], minlength=_STATES)
-        b1 = self.before1[:n]
-        self.sure1[b1] = np.where(self.c1 == ids, np.minimum(self.s1 + 1, _STATES - 1), self.s1 >> 1)
-        self.sure2[self.h2] = np.where(self.c2 == ids, np.minimum(self.s2 + 1, _STATES - 1), self.s2 >> 1)
-        self.next1[b1] = ids
-        self.next2[self.h2] = ids
+        right1, right2 = self.c1 == ids, self.c2 == ids
+        if self.steps % 2 == 0:  # weights and odds learn from every second step
+            some = self.candidate >= 0
+            error = np.where(some, ((right2 | (right1 & (self.c2 < 0))).astype(np.int64) << 16) - self.p, 0)
+            seen = np.bincount(self.kind, minlength=4) + 64
+            for k in range(3):
+                self.weights[k] += np.bincount(self.kind, error * self.x[k], minlength=4).astype(np.int64) // (seen * 256)
+            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
+            for k, (c, s, right) in enumerate(((self.c1, self.s1, right1), (self.c2, self.s2, right2))):
+                self.seen[k] += np.bincount(s[c >= 0], minlength=_STATES)
+                self.hits[k] += np.bincount(s[right], minlength=_STATES)
+        b1, new = self.before1[:n], ids.astype(np.int32) << 3
+        self.next1[b1] = new | np.where(right1, np.minimum(self.s1 + 1, _STATES - 1), self.s1 >> 1)
+        self.next2[self.h2] = new | np.where(right2, np.minimum(self.s2 + 1, _STATES - 1), self.s2 >> 1)
         self.before2[:n] = b1
         self.before1[:n] = ids
         self.held.append(ids)
         self.steps += 1
-        if self.steps <= 16 or self.steps % 4 == 0:
-            np.add.at(self.count, np.concatenate(self.held), _GAIN)
-            self.total = int(self.count.sum())
+        if self.steps <= 16 or self.steps % 8 == 0:
+            self.count += _GAIN * np.bincount(np.concatenate(self.held), minlength=len(self.count))
             self.held = []
             self._sum()
 
@@ -309,7 +307,8 @@ class Pieces:
         # The byte-level alphabet: printable bytes as they are, others from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.shown = {b: chr(256 + i) for i, b in enumerate(others)}
+        self.shown = np.arange(256, dtype="<u4")
+        self.shown[others] = 256 + np.arange(len(others))
         self.clear()
 
     def clear(self):
@@ -320,16 +319,20 @@ class Pieces:
 
     def add(self, hashes, texts) -> None:
         merge = self.tokenizer.model.tokenize
-        for h, x in zip(hashes, texts, strict=True):
-            ids = [t.id for t in merge(x.decode("latin-1").translate(self.shown))]
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if self.n == len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.slot[h], self.first[self.n], self.size[self.n] = self.n, self.used, len(ids)
-            self.used += len(ids)
-            self.n += 1
+        size = self.used + sum(map(len, texts))  # an id has a byte at least
+        if size > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(size, len(self.ids)), np.int32)])
+        if self.n + len(texts) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(max(len(texts), len(x)), np.int64)]) for x in (self.first, self.size))
+        found = [[t.id for t in merge(x)] for x in texts]
+        sizes = np.array([len(x) for x in found], np.int64)
+        n, used = len(found), int(sizes.sum())
+        self.ids[self.used : self.used + used] = np.fromiter((i for x in found for i in x), np.int32, used)
+        self.first[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + n] = sizes
+        self.slot.update(zip(hashes, range(self.n, self.n + n), strict=True))
+        self.used += used
+        self.n += n
 
     def slice(self, w) -> list[np.ndarray]:
         """Ids of each text of a slice (a Words over any byte), without end ids."""
@@ -364,7 +367,9 @@ class Pieces:
         new = np.flatnonzero(slots < 0)
         if len(new):
             base = self.n
-            self.add([keys[i] for i in new], [data[s[i] : e[i]].tobytes() for i in first[new]])
+            shown = self.shown[data].tobytes().decode("utf-32-le")
+            at_new = first[new]
+            self.add([keys[i] for i in new.tolist()], [shown[a:b] for a, b in zip(s[at_new].tolist(), e[at_new].tolist(), strict=True)])
             slots[new] = np.arange(base, base + len(new))
         slots = slots[at]
         size = self.size[slots]
