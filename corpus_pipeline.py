@@ -3,7 +3,14 @@ de-duplication, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
 all but the last return the columns of documents. ``run`` writes each stage as
-Parquet in the shared folder and reads it again."""
+Parquet in the shared folder and reads it again.
+
+Null, empty and very short texts fail the quality rules and go there; very long texts
+are read whole in every stage. Of rows with one doc_id the n-gram join keeps the first by
+its columns, of equal or near-equal texts the smallest doc_id; rows without doc_id stay
+until packing, which deals them by their text. Further columns, whatever their names,
+are kept until packing, whose rows are segments with their place and token ids. An
+empty table gives empty stages."""
 
 from __future__ import annotations
 
@@ -22,8 +29,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: MinHash collisions and the bucket boundaries are beyond SQL; tests/llm checks
-#: the stages against brute force.
+#: MinHash collisions, token ids and bucket boundaries are beyond SQL; tests/llm checks
+#: the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
