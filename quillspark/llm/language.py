@@ -65,16 +65,15 @@ class Vectors:
 
 def _bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
     """(one vector a text, whether it has a letter)."""
-    joined = "\x00".join(x.lower() for x in texts)
+    joined = "".join("\x00" + x.lower() for x in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     cut = code == 0
     letter = _is_letter()[code]
-    # NUL characters of a text would look like its end: they are taken out before.
-    doc = np.cumsum(cut, dtype=np.int32)
+    # NUL begins a text and stands for a blank; those inside are taken out before.
+    doc = np.cumsum(cut, dtype=np.int32) - 1
     code = np.where(letter, code, np.uint32(_BLANK))
     keep = letter | cut
     keep[1:] |= letter[:-1]  # the first non-letter after a letter stands for a blank
-    keep[:1] = True
     code, doc = code[keep], doc[keep]
     n = len(texts)
     out, has = np.zeros((n, vectors.dimensions), np.float32), np.bincount(doc[code != _BLANK], minlength=n)[:n] > 0
@@ -86,7 +85,7 @@ def _bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray
         kept, at = np.unique(key, return_inverse=True)
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(BLOCK, len(kept) + BLOCK, BLOCK))
-        for b, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+        for b, (lo, hi) in enumerate(zip(np.concatenate([[0], ends])[:-1], ends, strict=True)):
             kinds, rows = kept[b * BLOCK : (b + 1) * BLOCK], order[lo:hi]
             counts = np.bincount(d[rows].astype(np.int64) * len(kinds) + at[rows] - b * BLOCK, minlength=n * len(kinds)).reshape(n, -1).astype(np.float32)
             out += counts @ vectors.grams(kinds)

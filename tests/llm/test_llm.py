@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -50,11 +51,12 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     a, b = QUERIES[name](spark, DIR).toPandas(), con.sql(SQL[name]).df()
     cols = sorted(a.columns)
-    rows = [x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b)]
+    plain = lambda v: "" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)  # noqa: E731  a null makes integers floats
+    rows = [x[cols].map(plain).sort_values(cols).reset_index(drop=True) for x in (a, b)]
     assert rows[0].equals(rows[1])
 
 
@@ -488,3 +490,67 @@ def test_pipeline_stages(spark, odd, tmp_path):
         assert name == "packing" or docs.columns == before
     assert docs.count() >= 0
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+# --------------------------------------------- damage, long texts, plain tokens
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_every_damaged_byte_is_a_gap_or_a_record(compress):
+    parts = []
+    for i, refers in ((1, None), (2, 1), (3, None)):
+        parts.append(warc.record(i, "http://u/", f"page {i}", 6, warc.digest(b"page 1" if refers else f"page {i}".encode()), refers, compress) + (warc._EMPTY_MEMBER if compress else b"\r\n\r\n"))
+    data = b"".join(parts)
+    for at, value in itertools.product(range(len(data)), (0x00, 0x39, 0xFF)):
+        bad = bytearray(data)
+        bad[at] = value
+        found = list(warc.salvage_bytes(bytes(bad)))
+        assert all(k in ("record", "gap") for k, *_ in found)
+        for k, head, *_ in found:
+            assert k == "gap" or (head["_page"] is None or -(1 << 63) <= head["_page"] < 1 << 63) and head["_full"] >= 0
+        lost = sum(len(p) for p in parts[: next(i for i in range(3) if at < sum(map(len, parts[: i + 1])))])
+        assert sum(k == "record" for k, *_ in found) >= 2 - (lost < 0)
+
+
+def test_forged_revisits_are_logged(spark, tmp_path):
+    path = tmp_path / "w"
+    path.mkdir()
+    good = warc.record(1, "u", "x", 1, warc.digest(b"x"), None, False)
+    same = warc.record(2, "u", "x", 1, warc.digest(b"x"), 1, False)
+    forged = warc.record(3, "u", "y", 1, warc.digest(b"y"), 1, False)
+    huge = good.replace(b"urn:page:1", b"urn:page:" + b"9" * 20)
+    (path / "part-0").write_bytes(b"\r\n\r\n".join([good, same, forged, huge, b""]))
+    got = {r.page_id: r.refers_to for r in warc.restore(spark, str(path)).collect()}
+    assert got == {1: None, 2: 1}
+    assert sorted(r.kind for r in spark.read.parquet(f"{path}-gaps").collect()) == ["gap", "orphan"]
+
+
+def test_long_mixed_text_in_stretches():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    text = "".join(map(chr, r.integers(0x4E00, 0x9FA5, 300_000))) + " the cat and the dog " * 35_000
+    tracemalloc.start()
+    got, has = language._bundles([text], language.Vectors(64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert has.all() and np.isfinite(got).all() and peak < 300e6
+    parts = ["a b c", "", "12", "xyz" * 10]
+    whole = language._bundles(parts, language.Vectors(64))[0]
+    assert all(np.allclose(whole[i], language._bundles([t], language.Vectors(64))[0][0]) for i, t in enumerate(parts))
+
+
+def test_ids_are_the_plain_call(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "", "x" * 3000, "don't", "<|endoftext|>", "ünï «q» 12", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens.write(docs, str(tmp_path / "p"), path)
+    start = 0
+    for row in tokens.read_back(spark, str(tmp_path / "p")).orderBy("doc_id").collect():
+        ids = [*plain.encode(texts[row.doc_id] or "", add_special_tokens=False).ids, 0]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
