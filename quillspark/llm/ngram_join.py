@@ -13,10 +13,8 @@ whole sequence; none: empty, linked with nothing). Two documents link when
    class has leaves no row.
 4. Each group proposes its most central member against the others (linear), the links
    are contracted to components, and only pairs of members that are still in
-   different components are proposed next, by four times as many pivots, until none is
-   left. Groups that stay large are dealt on by the prefix tokens of the next order,
-   which two members that link share as well. All pairs are thus decided or
-   already connected. Sizes, the places of the common token and parity sketches of the
+   different components are proposed next. All pairs are thus decided or already
+   connected. Sizes, the places of the common token and parity sketches of the
    sets bound what a pair can share; none of these bounds loses a link.
 5. A proposed pair must share prefix tokens under every further order: their prefixes
    are compared by 32 bits a token before any text moves. The sets of the rest are
@@ -47,10 +45,9 @@ HOT = 20
 #: Frequent tokens that are broadcast at most (8 bytes each).
 HOT_LIMIT = 1_000_000
 #: Pairs of members looked at in one join, per row of the groups; beyond that,
-#: groups are dealt on by the next order, and more pivots come first.
+#: another round of pivots comes first, this many at most.
 RESIDUAL = 64
-#: Pivots of a group in one round.
-MOST_PIVOTS = 64
+PIVOT_ROUNDS = 3
 #: Rounds of pivots before members meet each other.
 LEAST_ROUNDS = 2
 #: 64-bit words of a parity sketch.
@@ -276,29 +273,6 @@ def _mixed(labelled: DataFrame) -> int:
     return int(sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
 
 
-def deal_on(labelled: DataFrame, texts: DataFrame, order: int) -> DataFrame:
-    """The groups that are still open, dealt on by the prefix tokens of a further
-    order: members that link share one of those as well, or they do not link."""
-    schema = labelled.schema
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    held = labelled.join(mixed, "token").join(texts.select(F.col("doc_id").alias("rep"), "v", "firsts"), ["rep", "v"]).select(*labelled.columns, "firsts")
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.frombuffer(x, "<u4").reshape(len(ORDERS) - 1, -1)[order] for x in batch.column(batch.num_columns - 1).to_pylist()]
-            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).take(pa.array(at, pa.int64()))
-            token = rows.column(schema.names.index("token")).to_numpy().view(np.uint64)
-            further = np.concatenate(sets).astype(np.uint64) if sets else np.zeros(0, np.uint64)
-            columns = list(rows.columns)
-            columns[schema.names.index("token")] = pa.array(_signed(mix64(token ^ mix64(further, 11 + order))))
-            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
-
-    dealt = held.mapInArrow(run, schema)
-    several = dealt.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return dealt.join(several, "token").select(*labelled.columns)
-
-
 def _members_meet(labelled: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a group that are in different components and can link."""
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
@@ -325,23 +299,19 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
     size = rows.count()
     texts = durable(candidates(docs, rows.select(F.col("rep").alias("doc_id"), "v").distinct(), hot, k, percent))
     found, done = [], []
-    labelled, order, pivots = rows.withColumn("comp", F.col("rep")), 0, 1
+    labelled = rows.withColumn("comp", F.col("rep"))
     for k_round in itertools.count():
         mixed = _mixed(labelled) if k_round else size
-        if k_round >= LEAST_ROUNDS and mixed > RESIDUAL * size and order < len(ORDERS) - 1:
-            before, labelled = labelled, durable(deal_on(labelled, texts, order))
-            release(before)
-            order, mixed = order + 1, _mixed(labelled)
         if not mixed:
             break
-        last = k_round >= LEAST_ROUNDS and mixed <= max(RESIDUAL * size, 100_000)
+        last = k_round >= LEAST_ROUNDS and mixed <= max(RESIDUAL * size, 100_000) or k_round == PIVOT_ROUNDS
+        heads = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("apart", "rep", "v", "n", "pos", "comp")).alias("first")).where("lo < hi")
+        heads = heads.select("token", *[F.col(f"first.{c}").alias(x) for c, x in (("rep", "pivot"), ("v", "pv"), ("n", "n1"), ("pos", "i1"), ("comp", "cu"))])
         if last:
             pairs = _members_meet(labelled, parities, percent)
         else:
-            heads = labelled.groupBy("token", F.pmod(F.xxhash64("rep", "v"), F.lit(pivots)).alias("part")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("apart", "rep", "v", "n", "pos", "comp")).alias("first"))
-            heads = heads.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("first").alias("heads")).where("lo < hi").select("token", "heads")
-            met = labelled.join(heads, "token").withColumn("h", F.explode("heads")).select("token", F.col("rep").alias("member"), F.col("v").alias("mv"), "n", "pos", F.col("comp").alias("cv"), *[F.col(f"h.{c}").alias(x) for c, x in (("rep", "pivot"), ("v", "pv"), ("n", "n1"), ("pos", "i1"), ("comp", "cu"))])
-            pairs = met.where((F.col("cv") != F.col("cu")) & _fitting("n1", "i1", "n", "pos", percent))
+            met = labelled.select("token", F.col("rep").alias("member"), F.col("v").alias("mv"), "n", "pos", F.col("comp").alias("cv"))
+            pairs = met.join(heads, "token").where((F.col("cv") != F.col("cu")) & _fitting("n1", "i1", "n", "pos", percent))
         pairs = pairs.groupBy(*_PAIR).agg(F.first("cu").alias("cu"), F.first("cv").alias("cv"))
         for old in done:
             pairs = pairs.join(old.select(*_PAIR), _PAIR, "left_anti")
@@ -355,11 +325,10 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
             break
         # The pivots have met all others of their groups. Only new links are contracted.
         moved = components(new.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        rest = labelled.join(heads, "token").where("not exists(heads, x -> x.rep = rep and x.v = v)").drop("heads")
+        rest = labelled.join(heads.select("token", "pivot", "pv"), "token").where("rep <> pivot or v <> pv").drop("pivot", "pv")
         before, labelled = labelled, durable(rest.join(moved.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"))
         if k_round:
             release(before)
-        pivots = min(4 * pivots, MOST_PIVOTS)
     out = durable(functools.reduce(DataFrame.union, found).select("u", "v")) if found else docs.sparkSession.createDataFrame([], "u long, v long")
     release(classes, rows, labelled, texts, *found, *done)
     return out
