@@ -89,7 +89,8 @@ def compile_rules(rules=RULES, prefix: str = "") -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, prefix: str = "") -> DataFrame:
-    """docs with the counts, base_failed and kept."""
+    """docs with the counts, base_failed and kept; columns of these names are replaced,
+    a prefix keeps those of docs."""
     p = prefix
     df = counts(docs, text, p)
     failed = (F.col(f"{p}n_words") < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words"))

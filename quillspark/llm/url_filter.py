@@ -12,6 +12,8 @@ repeated rows are judged one by one; without labels of both kinds all is allowed
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,10 +95,10 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(url: str) -> str:
-    head, sep, rest = url.partition("://")
-    rest = rest.split("?")[0].split("#")[0] if sep else ""
-    host, slash, path = rest.partition("/")
-    return host.lower() + " " + slash + path
+    """Host and path as ``parts`` gives them, with a blank between."""
+    rest = url.partition("://")[2]
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), host) + " " + path
 
 
 class Regression:

@@ -444,6 +444,16 @@ def test_url_rules(spark):
     assert (got[7].verdict, got[8].verdict, got[0].verdict, got[6].verdict) == ("block", "allow", "block", "allow")
 
 
+def test_url_parts_are_those_of_training(spark):
+    urls = ["http://A.Ä.org/X?y", "HTTPS://x?y/z#t", "a://b#c", "no scheme", "http:///p", "x://h/" + "é" * 5000, ""]
+    rows = spark.createDataFrame([(i, u, "clash", 1.0) for i, u in enumerate(urls)], "page_id long, url string, host string, score double")
+    got = {r.page_id: r for r in url_filter.judge(rows).collect()}
+    assert [f"{got[i].host} {got[i].path}" for i in range(len(urls))] == [url_filter._split(u) for u in urls]
+    twice = url_filter.judge(rows.union(rows)).collect()
+    assert len(twice) == 2 * len(urls) and {(r.page_id, r.score) for r in twice} == {(r.page_id, r.score) for r in got.values()}
+    assert url_filter.judge(rows.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------- 9 warc
 
 
