@@ -19,6 +19,8 @@ that start one word apart mostly share their MinHash, so they are kept as runs:
    matches). So the classes are dealt anew by those shingles, and step 3 is repeated
    with other and more pivots until no group has two classes. A key that a third of all
    documents have costs its rows a few comparisons each, not pairs.
+   Groups of up to ``GROUP`` classes do all of this inside one task; each class moves
+   there once.
 5. Documents with a match are clustered by connected components.
 
 In each match the later document's words are the repeat; a passage thus stays in the
@@ -48,6 +50,9 @@ RECALL = 0.95
 CHUNK = 128
 #: Pivots of a group in one round.
 MOST_PIVOTS = 64
+#: Classes of a key that one task settles in memory (some 400 bytes each); larger groups
+#: take distributed rounds until they are dealt into such.
+GROUP = 4096
 #: Shingles have 32 bits; 0 and 1 stand for places past a run, the last value for shingles that do not count.
 _X, _Y, _GONE = 0, 1, (1 << 32) - 1
 
@@ -264,14 +269,114 @@ def compare(pairs: DataFrame, ctx: DataFrame, size: int = PARAGRAPH, k: int = K,
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "more", "off_a", "ctx_a", "off_b", "ctx_b").mapInArrow(run, _MET)
 
 
+def _choose(g, idx, open_, lo, hi, n, pivots: int):
+    """Pairs of one round: (a, b, more) for rows (group, member), each group with up to
+    ``pivots`` pivots; groups that are settled or have another's members give none."""
+    order = np.lexsort((idx, lo[idx], -n[idx], ~open_, g))
+    g, idx, open_ = g[order], idx[order], open_[order]
+    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    size = np.diff(np.append(begin, len(g)))
+    live = (size > 1) & (np.minimum.reduceat(lo[idx], begin) < np.maximum.reduceat(hi[idx], begin)) & np.logical_or.reduceat(open_, begin)
+    same = np.stack([size.astype(np.uint64), np.add.reduceat(mix64(idx.astype(np.uint64)), begin), np.add.reduceat(mix64(idx.astype(np.uint64), 7), begin)], axis=1)
+    other = np.zeros(len(begin), bool)
+    other[np.unique(same, axis=0, return_index=True)[1]] = True
+    a, b, more = [], [], []
+    for s, m in zip(begin[live & other].tolist(), size[live & other].tolist(), strict=True):
+        k = min(pivots, m - 1)
+        for j in range(k):
+            a.append(np.full(m - 1 - j, idx[s + j]))
+            b.append(idx[s + j + 1 : s + m])
+            more.append((np.arange(j + 1, m) >= k) & (j == 0) & (m - k > 1))
+    return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((a, np.int64), (b, np.int64), (more, bool))]
+
+
+def _settle(g, ctx, off, lo, hi, n, open_, size: int, k: int, percent: int):
+    """The rounds of ``_levels`` for whole groups in memory: (a, b, mine, theirs) of the
+    pairs of rows that match."""
+    span = size - k + 1
+    grid, first, last = _grid(ctx, off, span, _X)
+    idx, met, out = np.arange(len(g)), np.zeros(0, np.int64), []
+    g, pivots = np.unique(g, return_inverse=True)[1], 1
+    while len(g):
+        a, b, more = _choose(g, idx, open_, lo, hi, n, pivots)
+        codes = a * len(ctx) + b
+        order = np.lexsort((~more, codes))
+        order = order[np.append(True, codes[order][1:] != codes[order][:-1])] if len(order) else order
+        a, b, more, codes = a[order], b[order], more[order], codes[order]
+        # A pair that was met is met again only for what it deals on.
+        seen = np.isin(codes, met)
+        keep = ~seen | more
+        a, b, more, seen = a[keep], b[keep], more[keep], seen[keep]
+        met = np.union1d(met, codes)
+        dealt = []
+        for i in range(0, len(a), CHUNK):
+            x, y, ask = a[i : i + CHUNK], b[i : i + CHUNK], more[i : i + CHUNK]
+            good, in_y, tokens = _compare(grid[x], first[x], last[x], np.maximum(grid[y], _Y), first[y], last[y], ask, size, k, percent)
+            for j in np.flatnonzero(good.any(axis=1) & ~seen[i : i + CHUNK]).tolist():
+                runs = _runs(good[j])
+                out.append((x[j], y[j], [[s - first[x[j]], e - first[x[j]]] for s, e in runs], [[s - first[y[j]], e - first[y[j]]] for s, e in runs]))
+            left = (in_y & ~good).any(axis=1)
+            lens = np.array([len(z) for z in tokens])
+            if lens.sum():
+                dealt.append((np.repeat(x, lens), np.repeat(y, lens), np.repeat(left, lens), np.concatenate([np.array(z, np.int64) for z in tokens])))
+        if not dealt:
+            break
+        pivot, idx, open_, t = (np.concatenate(z) for z in zip(*dealt, strict=True))
+        g, counts = np.unique((pivot.astype(np.uint64) << np.uint64(32)) | t.astype(np.uint64), return_inverse=True, return_counts=True)[1:]
+        keep = counts[g] > 1
+        g, idx, open_, pivots = g[keep], idx[keep], open_[keep], min(4 * pivots, MOST_PIVOTS)
+    return out
+
+
+def settle(rows: DataFrame, size: int, k: int, percent: int) -> DataFrame:
+    """rows: g, id, open, lo, hi, n, off, ctx. (a, b, mine, theirs) of the pairs that
+    match in groups that fit in memory: each goes to one task and is settled there."""
+    names = ["a", "b", "mine", "theirs"]
+
+    def solve(table):
+        g, ids, lo, hi, n, off = (table.column(c).to_numpy() for c in ("g", "id", "lo", "hi", "n", "off"))
+        found = _settle(g, table.column("ctx").to_pylist(), off.astype(np.int64), lo, hi, n, table.column("open").to_numpy(), size, k, percent)
+        a, b, mine, theirs = zip(*found, strict=True) if found else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.array(a, np.int64)]), pa.array(ids[np.array(b, np.int64)]), pa.array(mine, _INTS), pa.array(theirs, _INTS)], names)
+
+    def run(batches):
+        held, many = [], 0
+        for batch in batches:
+            held.append(batch)
+            many += batch.num_rows
+            if many < GROUP:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            g = table.column("g").to_numpy()
+            cut = int(np.argmax(g == g[-1]))
+            if cut:
+                yield solve(table.slice(0, cut))
+            held, many = table.slice(cut).to_batches(), len(g) - cut
+        if many:
+            yield solve(pa.Table.from_batches(held))
+
+    small_arrow(rows.sparkSession)
+    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "a long, b long, mine array<array<int>>, theirs array<array<int>>")
+
+
 def _levels(ctx: DataFrame, size: int, k: int, percent: int):
-    """The comparisons of every round, each a durable table. A group has one pivot
-    in the first round and up to four times as many in each that follows: the best of each
-    of so many parts. What is left of a group is dealt on by what its first pivot lacks;
-    of groups with the same members one is enough."""
+    """The comparisons of every round, each a durable table. Groups of up to ``GROUP``
+    classes are settled inside a task. A larger one has one pivot in the first round and up
+    to four times as many in each that follows: the best of each of so many parts. What
+    is left of it is dealt on by what its first pivot lacks; of groups with the same
+    members one is enough."""
     about = ctx.select("id", "lo", "hi", "n")
     rows, pivots, held = ctx.select(F.col("key").alias("g"), "id", F.lit(True).alias("open"), "lo", "hi", "n"), 1, None
     while True:
+        # Few: each has over GROUP rows.
+        large = durable(rows.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).groupBy("x", "y", "size").agg(F.min("g").alias("g")).select("g", (F.col("size") > GROUP).alias("large")))
+        if held is None:
+            small = ctx.withColumns({"g": F.col("key"), "open": F.lit(True)})
+        else:
+            small = rows.join(large.where("not large").select("g"), "g").join(ctx.select("id", "off", "ctx"), "id")
+        small = small.join(F.broadcast(large.where("large").select("g")), "g", "left_anti")
+        yield durable(settle(small.select("g", "id", "open", "lo", "hi", "n", "off", "ctx"), size, k, percent))
+        rows = rows.join(F.broadcast(large.where("large").select("g")), "g", "left_semi")
         best = rows.groupBy("g", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")).agg(F.count("*").alias("size"), F.min(F.struct(~F.col("open"), -F.col("n"), "lo", "id")).alias("first"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("open").alias("some"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
         best = best.groupBy("g").agg(F.sum("size").alias("size"), F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_list("first.id").alias("pivots"))
         best = best.where("size > 1 and least < most and some")
@@ -281,10 +386,10 @@ def _levels(ctx: DataFrame, size: int, k: int, percent: int):
         met = rows.join(best, "g").withColumn("pivot", F.array_contains("pivots", F.col("id"))).withColumn("a", F.explode("pivots")).where("a <> id and (not pivot or a < id)")
         pairs = durable(met.groupBy("a", F.col("id").alias("b")).agg(F.max(F.expr("more and not pivot and a = first")).alias("more")))
         if not pairs.take(1):
-            release(*[x for x in (pairs, held) if x is not None])
+            release(*[x for x in (pairs, large, held) if x is not None])
             return
         found = durable(compare(pairs, ctx, size, k, percent))
-        release(*[x for x in (pairs, held) if x is not None])
+        release(*[x for x in (pairs, large, held) if x is not None])
         yield found
         # A shingle that no other class of the group has leaves no row.
         dealt = found.select(F.col("b").alias("id"), "open", "a", F.explode("tokens").alias("t")).select(F.xxhash64("a", "t").alias("g"), "id", "open")

@@ -564,3 +564,24 @@ def test_ids_are_the_plain_call(spark, tmp_path):
         ids = [*plain.encode(texts[row.doc_id] or "", add_special_tokens=False).ids, 0]
         assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
+
+
+def test_small_groups_settle_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    passage, rows = [f"w{i}" for i in range(90)], []
+    for d in range(40):
+        text = list(passage)
+        for at in rng.integers(0, 90, d % 4):
+            text[at] = f"x{d}"
+        rows.append((d, " ".join([f"a{d}-{i}" for i in range(20)] + text + [f"b{d}-{i}" for i in range(20)])))
+    docs = substring_dedup._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    levels, seen = substring_dedup._levels, []
+
+    def counted(*args):
+        for table in levels(*args):
+            seen.append(table)
+            yield table
+
+    monkeypatch.setattr(substring_dedup, "_levels", counted)
+    one = sorted(map(tuple, substring_dedup.matches(docs)[0].collect()))
+    assert len(seen) == 1 and len(one) > 30
