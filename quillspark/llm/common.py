@@ -3,6 +3,7 @@
 * ``durable`` cuts lineage through a table in the shared folder, ``release`` deletes it.
 * ``TextBlocks`` turns Arrow string columns into numpy word arrays, one slice of
   about a megabyte at a time, so memory does not depend on the batch size.
+* ``among`` leaves out, before a shuffle, most rows that a join will not take.
 * ``stream_pairs`` brings the two texts of candidate pairs together without
   holding a group in memory; hot pivots are dealt over salted groups.
 * ``components`` labels connected components with distributed star contraction.
@@ -10,6 +11,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -24,6 +26,11 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 2000
 #: Bytes of text that one numpy pass handles; a longer document is one pass.
 SLICE_BYTES = 1 << 20
+#: The same for operators whose passes hold many arrays of a slice at once.
+SMALL_SLICE = 1 << 18
+#: Bits a key of ``among``, and 64-bit words of its table at most (8 MB).
+KEY_BITS = 16
+MOST_WORDS = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -64,13 +71,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete durable tables that nothing reads any more. Spark deletes the shuffle
-    files behind them once the driver has collected its garbage, so that is asked for."""
+    """Delete durable tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_quill_path", None):
             _delete(df.sparkSession, path)
+    collect_shuffles(tables[0].sparkSession)
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files that no plan needs any more once the driver has
+    collected its garbage, so that is asked for."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def sweep(spark: SparkSession) -> None:
@@ -79,6 +91,13 @@ def sweep(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: idle Python workers keep theirs."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def small_arrow(spark: SparkSession) -> None:
     """Keep Arrow batches of text columns small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -90,6 +109,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def among(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of df whose keys are those of a row of wanted (columns in the order of
+    keys, of their types), and a few others: a table of their hashes' bits is broadcast,
+    2 bytes a key. It is for the side of an inner join on the keys that has wide rows;
+    none that the join takes is lost. Past MOST_WORDS more others stay. wanted is read
+    twice."""
+    spark = df.sparkSession
+    words = min(max(64, wanted.count() * KEY_BITS // 64), MOST_WORDS)
+    slot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(64 * words))
+    word, bit = F.shiftright("_s", 6).cast("int").alias("w"), F.col("_s").bitwiseAND(F.lit(63)).cast("int").alias("b")
+    masks = wanted.select(slot(wanted.columns).alias("_s")).select(word, bit).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow()
+    bits = np.zeros(words, np.int64)
+    bits[masks.column("w").to_numpy()] = masks.column("m").to_numpy()
+    table = spark.createDataFrame(pa.table({"_bits": pa.array([bits.tolist()], pa.list_(pa.int64()))}))
+    s = slot(keys)
+    known = F.get(F.col("_bits"), F.shiftright(s, 6).cast("int"))
+    hit = F.call_function("shiftright", known, s.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(table), hit).select(*df.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -185,7 +224,7 @@ class Words:
         return b" ".join(self.data[a:b].tobytes().lower() for a, b in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
-def text_blocks(column, is_word: np.ndarray):
+def text_blocks(column, is_word: np.ndarray, slice_bytes: int = SLICE_BYTES):
     """Words of an Arrow string column, slice by slice; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -197,7 +236,7 @@ def text_blocks(column, is_word: np.ndarray):
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.zeros(0, np.uint8)
     i, n = 0, len(column)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + slice_bytes, "right")) - 1)
         j = min(j, n)
         yield Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, is_word)
         i = j

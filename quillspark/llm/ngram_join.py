@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, components, doc_shingles, durable, mix64, read, release, salted_by_pivot, small_arrow, text_blocks
+from .common import NON_SPACE, SMALL_SLICE, among, collect_shuffles, components, doc_shingles, durable, mix64, read, release, salted_by_pivot, small_arrow, text_blocks, trim
 
 K = 5
 PERCENT = 80
@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, d1, d2, odd = [], [], [], []
-            for w in text_blocks(batch.column(2), NON_SPACE):
+            for w in text_blocks(batch.column(2), NON_SPACE, SMALL_SLICE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
                     s = doc_shingles(w, k, g, d)
@@ -102,6 +102,7 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
                     d2.append(np.bitwise_xor.reduce(mix64(s, 7)) if len(s) else np.uint64(0))
                     odd.append(np.frombuffer(parity(s), np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_signed(np.array(d1, np.uint64))), pa.array(_signed(np.array(d2, np.uint64))), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "v", "n_shingles", "d1", "d2", "parity"])
+        trim()
 
     small_arrow(docs.sparkSession)
     return docs.select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, n_shingles long, d1 long, d2 long, parity array<long>")
@@ -119,7 +120,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
         late, met = hot_sent.value, set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in text_blocks(batch.column(1), NON_SPACE):
+            for w in text_blocks(batch.column(1), NON_SPACE, SMALL_SLICE):
                 g, out = w.grams(k), []
                 for d in range(len(w.at) - 1):
                     s = doc_shingles(w, k, g, d)
@@ -134,6 +135,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
                 if not tokens_only:
                     columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.repeat(np.array([x[4] for x in out], np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int, own int")
 
@@ -141,10 +143,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) ->
 def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarray:
     """The most frequent prefix tokens, HOT_LIMIT at most, sorted."""
     counted = _prefixes(docs, k, percent, np.zeros(0, np.uint64), True).groupBy("token").count().where(F.col("count") > HOT)
-    counted = durable(counted)
+    table = counted = durable(counted)
     if counted.count() > HOT_LIMIT:
         counted = counted.orderBy(F.desc("count"), "token").limit(HOT_LIMIT)
-    return np.sort(np.array([r.token for r in counted.select("token").toLocalIterator()], np.int64).view(np.uint64))
+    out = np.sort(np.array([r.token for r in counted.select("token").toLocalIterator()], np.int64).view(np.uint64))
+    release(table)
+    return out
 
 
 def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -192,16 +196,17 @@ def candidates(docs: DataFrame, reps: DataFrame, hot: np.ndarray, k: int = K, pe
         late = hot_sent.value
         for batch in batches:
             out = []
-            for w in text_blocks(batch.column(2), NON_SPACE):
+            for w in text_blocks(batch.column(2), NON_SPACE, SMALL_SLICE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
                     s = doc_shingles(w, k, g, d)
                     n = prefix_length(len(s), percent)
                     out.append(b"".join(np.sort(in_order(s, o, late, n).astype("<u4")).tobytes() for o in ORDERS[1:]) if n else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "v", "text", "firsts"])
+        trim()
 
     small_arrow(docs.sparkSession)
-    return docs.join(reps, ["doc_id", "v"]).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, text string, firsts binary")
+    return among(docs, ["doc_id", "v"], reps).join(reps, ["doc_id", "v"]).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, text string, firsts binary")
 
 
 def share_prefixes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,7 +237,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCEN
             is_pivot = m.is_null().to_numpy(zero_copy_only=False)
             m = m.fill_null(-1).to_numpy()
             at = []
-            for w in text_blocks(batch.column(3), NON_SPACE):
+            for w in text_blocks(batch.column(3), NON_SPACE, SMALL_SLICE):
                 g = w.grams(k)
                 for d in range(len(w.at) - 1):
                     i = w.first + d
@@ -247,6 +252,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCEN
                         at.append(i)
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (0, 2, 4, 5)], ["u", "v", "cu", "cv"])
+        trim()
 
     return salted_by_pivot(pairs, texts).select("pivot", "pv", "member", "text", "cu", "cv").mapInArrow(run, "u long, v long, cu long, cv long")
 
@@ -284,6 +290,10 @@ def _members_meet(labelled: DataFrame, parities: DataFrame, percent: int) -> Dat
 _PAIR = ["pivot", "pv", "member", "mv"]
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pivot", "pv").union(pairs.select("member", "mv"))
+
+
 def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(u, v) between documents that stand for their classes, enough of them that
     their components are those of all links. docs: doc_id, v, text; sketched: durable
@@ -297,7 +307,10 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
     members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
     rows = durable(members.join(classes.select("d1", "n_shingles", "rep", "v"), ["d1", "n_shingles"]).select("token", "rep", "v", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
     size = rows.count()
-    texts = durable(candidates(docs, rows.select(F.col("rep").alias("doc_id"), "v").distinct(), hot, k, percent))
+    collect_shuffles(docs.sparkSession)
+    reps = durable(rows.select(F.col("rep").alias("doc_id"), "v").distinct())
+    texts = durable(candidates(docs, reps, hot, k, percent))
+    release(reps)
     found, done = [], []
     labelled = rows.withColumn("comp", F.col("rep"))
     for k_round in itertools.count():
@@ -316,8 +329,8 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
         for old in done:
             pairs = pairs.join(old.select(*_PAIR), _PAIR, "left_anti")
         pairs = durable(pairs)
-        kept = durable(share_prefixes(pairs, texts))
-        new = durable(verify(kept, texts, k, percent))
+        kept = durable(share_prefixes(pairs, among(texts, ["doc_id", "v"], _ends(pairs))))
+        new = durable(verify(kept, among(texts, ["doc_id", "v"], _ends(kept)), k, percent))
         release(kept)
         found.append(new)
         done.append(pairs)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language, ngram_join, packing, quality, substring_dedup, tokens, toxicity, url_filter, warc
+from quillspark.llm import common, decontaminate, language, ngram_join, packing, quality, substring_dedup, tokens, toxicity, url_filter, warc
 from quillspark.llm.common import components
 from quillspark.llm.registry import QUERIES, SQL
 
@@ -585,3 +585,24 @@ def test_small_groups_settle_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_levels", counted)
     one = sorted(map(tuple, substring_dedup.matches(docs)[0].collect()))
     assert len(seen) == 1 and len(one) > 30
+
+
+def test_among_keeps_what_a_join_takes_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 7 - 3 AS int) AS v", "'x' AS text")
+    wanted = rows.where("doc_id % 50 = 0").select("doc_id", "v")
+    got = {r.doc_id for r in common.among(rows, ["doc_id", "v"], wanted).collect()}
+    assert got >= set(range(0, 20_000, 50))
+    assert len(got) < 3000
+    assert common.among(rows, ["doc_id", "v"], wanted.limit(0)).count() == 0
+
+
+def test_ngram_join_moves_only_texts_that_it_compares(spark, tmp_path, monkeypatch):
+    moved = []
+    real = ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, texts, *a: moved.append((pairs.count(), texts.count())) or real(pairs, texts, *a))
+    # Texts of shared prefixes that are too unlike to be pairs, and two that link.
+    texts = [" ".join([f"s{i // 15}x{j}" for j in range(12)] + [f"w{i}x{j}" for j in range(60)]) for i in range(200)] + [" ".join(f"q{j}" for j in range(60)), " ".join(f"q{j}" for j in range(61))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_classes(docs).collect()}
+    assert got == {i: min(i, 200) for i in range(202)}
+    assert all(t <= 2 * p + 20 for p, t in moved)
