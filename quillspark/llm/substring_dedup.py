@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, _qinv, _qpow, components, durable, mix64, read, release, small_arrow, text_blocks
+from .common import NON_SPACE, SMALL_SLICE, _qinv, _qpow, among, components, durable, mix64, read, release, small_arrow, text_blocks
 
 PARAGRAPH = 50
 K = 5
@@ -115,7 +115,7 @@ def anchors(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) -> D
     def run(batches):
         for batch in batches:
             ids, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for w in text_blocks(batch.column(2), NON_SPACE):
+            for w in text_blocks(batch.column(2), NON_SPACE, SMALL_SLICE):
                 doc, first = _windows(w, size)
                 if not len(doc):
                     continue
@@ -141,7 +141,7 @@ def contexts(classes: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int
     def run(batches):
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2)
-            for w in text_blocks(batch.column(1), NON_SPACE):
+            for w in text_blocks(batch.column(1), NON_SPACE, SMALL_SLICE):
                 grams, out = w.grams(k).astype("<u4"), [[] for _ in names]
                 for d in range(len(w.at) - 1):
                     i = w.first + d
@@ -328,16 +328,40 @@ def _settle(g, ctx, off, lo, hi, n, open_, size: int, k: int, percent: int):
     return out
 
 
+def _said(found, ids, key, cls, lo, hi):
+    """Of the matches of _settle: each class's distinct runs with the smallest and the
+    largest document that has them elsewhere, and links that connect the same documents."""
+    hits, parent, links = {}, {}, []
+
+    def root(x):
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    for x, y, mine, theirs in found:
+        for i, j, runs in ((x, y, mine), (y, x, theirs)):
+            for s, e in runs:
+                at = (ids[i], int(s), int(e))
+                old = hits.get(at)
+                hits[at] = (key[i], cls[i], lo[j], hi[j]) if old is None else (*old[:2], min(old[2], lo[j]), max(old[3], hi[j]))
+        if (u := root(lo[x])) != (v := root(lo[y])):
+            parent[u] = v
+            links.append((lo[x], lo[y]))
+    return hits, links
+
+
 def settle(rows: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    """rows: g, id, open, lo, hi, n, off, ctx. (a, b, mine, theirs) of the pairs that
-    match in groups that fit in memory: each goes to one task and is settled there."""
-    names = ["a", "b", "mine", "theirs"]
+    """rows: g, id, open, lo, hi, n, off, ctx, key, cls. Groups that fit in memory: each goes
+    to one task and is settled there. (key, cls, r, low, high, u, v) of what matches there:
+    a row for each run of a class, or a link u, v."""
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("r", pa.list_(pa.int32())), ("low", pa.int64()), ("high", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def solve(table):
-        g, ids, lo, hi, n, off = (table.column(c).to_numpy() for c in ("g", "id", "lo", "hi", "n", "off"))
+        g, lo, hi, n, off = (table.column(c).to_numpy() for c in ("g", "lo", "hi", "n", "off"))
         found = _settle(g, table.column("ctx").to_pylist(), off.astype(np.int64), lo, hi, n, table.column("open").to_numpy(), size, k, percent)
-        a, b, mine, theirs = zip(*found, strict=True) if found else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(ids[np.array(a, np.int64)]), pa.array(ids[np.array(b, np.int64)]), pa.array(mine, _INTS), pa.array(theirs, _INTS)], names)
+        hits, links = _said(found, *(table.column(c).to_pylist() for c in ("id", "key", "cls", "lo", "hi")))
+        out = [(key, cls, [s, e], low, high, None, None) for (_, s, e), (key, cls, low, high) in hits.items()] + [(None,) * 5 + x for x in links]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * len(schema), schema.types, strict=True)], schema=schema)
 
     def run(batches):
         held, many = [], 0
@@ -356,11 +380,15 @@ def settle(rows: DataFrame, size: int, k: int, percent: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     small_arrow(rows.sparkSession)
-    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "a long, b long, mine array<array<int>>, theirs array<array<int>>")
+    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "key long, cls long, r array<int>, low long, high long, u long, v long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b"))
 
 
 def _levels(ctx: DataFrame, size: int, k: int, percent: int):
-    """The comparisons of every round, each a durable table. Groups of up to ``GROUP``
+    """The comparisons of every round, each a durable table: of settle, then of compare. Groups of up to ``GROUP``
     classes are settled inside a task. A larger one has one pivot in the first round and up
     to four times as many in each that follows: the best of each of so many parts. What
     is left of it is dealt on by what its first pivot lacks; of groups with the same
@@ -373,9 +401,9 @@ def _levels(ctx: DataFrame, size: int, k: int, percent: int):
         if held is None:
             small = ctx.withColumns({"g": F.col("key"), "open": F.lit(True)})
         else:
-            small = rows.join(large.where("not large").select("g"), "g").join(ctx.select("id", "off", "ctx"), "id")
+            small = rows.join(large.where("not large").select("g"), "g").join(among(ctx.select("id", "off", "ctx", "key", "cls"), ["id"], held.select("id")), "id")
         small = small.join(F.broadcast(large.where("large").select("g")), "g", "left_anti")
-        yield durable(settle(small.select("g", "id", "open", "lo", "hi", "n", "off", "ctx"), size, k, percent))
+        yield durable(settle(small.select("g", "id", "open", "lo", "hi", "n", "off", "ctx", "key", "cls"), size, k, percent))
         rows = rows.join(F.broadcast(large.where("large").select("g")), "g", "left_semi")
         best = rows.groupBy("g", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")).agg(F.count("*").alias("size"), F.min(F.struct(~F.col("open"), -F.col("n"), "lo", "id")).alias("first"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("open").alias("some"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
         best = best.groupBy("g").agg(F.sum("size").alias("size"), F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_list("first.id").alias("pivots"))
@@ -388,14 +416,14 @@ def _levels(ctx: DataFrame, size: int, k: int, percent: int):
         if not pairs.take(1):
             release(*[x for x in (pairs, large, held) if x is not None])
             return
-        found = durable(compare(pairs, ctx, size, k, percent))
+        found = durable(compare(pairs, among(ctx, ["id"], _ends(pairs)), size, k, percent))
         release(*[x for x in (pairs, large, held) if x is not None])
         yield found
         # A shingle that no other class of the group has leaves no row.
         dealt = found.select(F.col("b").alias("id"), "open", "a", F.explode("tokens").alias("t")).select(F.xxhash64("a", "t").alias("g"), "id", "open")
         shared = dealt.select("g").groupBy("g").count().where("count > 1").select("g")
         held = durable(dealt.join(shared, "g"))
-        rows = held.join(about, "id")
+        rows = held.join(among(about, ["id"], held.select("id")), "id")
         pivots = min(4 * pivots, MOST_PIVOTS)
 
 
@@ -420,9 +448,16 @@ def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = P
     hits = [classes.where("lo < hi").select("key", "cls", F.array(F.array(F.lit(0), "m")).alias("runs"), F.col("lo").alias("low"), F.col("hi").alias("high"))]
     links = [live.select("key", "cls", "doc").join(classes.where("lo < hi").select("key", "cls", "lo"), ["key", "cls"]).where("doc <> lo").select(F.col("doc").alias("u"), F.col("lo").alias("v")).distinct()]
     rounds = []
-    side = lambda s, *more: ctx.select(F.col("id").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in more])
+    side = lambda near, s, *more: near.select(F.col("id").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in more])
     for met in _levels(ctx, size, k, percent):
-        some = durable(met.where("size(mine) > 0").select("a", "b", "mine", "theirs").join(side("b", "key", "cls"), "b").join(side("a", "cls"), "a").drop("a", "b"))
+        if "mine" not in met.columns:
+            hits.append(met.where("r is not null").select("key", "cls", F.array("r").alias("runs"), "low", "high"))
+            links.append(met.where("u <> v").select("u", "v"))
+            rounds.append(met)
+            continue
+        match = met.where("size(mine) > 0").select("a", "b", "mine", "theirs")
+        near = among(ctx.select("id", "lo", "hi", "key", "cls"), ["id"], _ends(match))
+        some = durable(match.join(side(near, "b", "key", "cls"), "b").join(side(near, "a", "cls"), "a").drop("a", "b"))
         rounds.append(some)
         hits += [some.select(F.col("key_b").alias("key"), F.col("cls_b").alias("cls"), F.col("theirs").alias("runs"), F.col("lo_a").alias("low"), F.col("hi_a").alias("high")), some.select(F.col("key_b").alias("key"), F.col("cls_a").alias("cls"), F.col("mine").alias("runs"), F.col("lo_b").alias("low"), F.col("hi_b").alias("high"))]
         links.append(some.where("lo_a <> lo_b").select(F.col("lo_a").alias("u"), F.col("lo_b").alias("v")))
@@ -497,7 +532,7 @@ def remove(docs: DataFrame, **options) -> DataFrame:
             if len(rows):
                 text, chars = columns[k].to_pylist(), columns[c].to_pylist() if c >= 0 else []
                 spans = spans.take(pa.array(rows)).to_pylist()
-                for w in text_blocks(columns[k].take(pa.array(rows)), NON_SPACE):
+                for w in text_blocks(columns[k].take(pa.array(rows)), NON_SPACE, SMALL_SLICE):
                     for d in range(len(w.at) - 1):
                         f, o = int(w.at[d]), int(w.offsets[d])
                         raw, at, out = w.data[o : int(w.offsets[d + 1])].tobytes(), 0, []

@@ -606,3 +606,11 @@ def test_ngram_join_moves_only_texts_that_it_compares(spark, tmp_path, monkeypat
     got = {r.doc_id: r.component_id for r in ngram_join.similarity_classes(docs).collect()}
     assert got == {i: min(i, 200) for i in range(202)}
     assert all(t <= 2 * p + 20 for p, t in moved)
+
+
+def test_matches_of_settled_groups_are_told_once_a_run():
+    n = 60
+    found = [(i, j, [[0, 3]], [[0, 3]]) for i in range(n) for j in range(i)]
+    hits, links = substring_dedup._said(found, *(list(range(n)), [7] * n, list(range(n)), list(range(n)), list(range(n))))
+    assert len(hits) == n and len(links) == n - 1
+    assert [hits[i, 0, 3] for i in (0, 5, n - 1)] == [(7, 0, 1, n - 1), (7, 5, 0, n - 1), (7, n - 1, 0, n - 2)]
