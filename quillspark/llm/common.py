@@ -184,12 +184,15 @@ def mix64(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 class Words:
     """Words of several documents: hash, first and end byte; ``at[d]:at[d+1]``
-    are the words of document d, ``first`` its row in the Arrow batch."""
+    are the words of document d, ``first`` its row in the Arrow batch. Without
+    ``is_word`` there are bytes and offsets alone."""
 
     __slots__ = ("at", "data", "end", "first", "h", "offsets", "start")
 
     def __init__(self, data, offsets, first, is_word):
         self.data, self.offsets, self.first = data, offsets, first
+        if is_word is None:
+            return
         n = len(data)
         inside = is_word[data]
         starts, ends = inside.copy(), inside.copy()
@@ -224,7 +227,7 @@ class Words:
         return b" ".join(self.data[a:b].tobytes().lower() for a, b in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
-def text_blocks(column, is_word: np.ndarray, slice_bytes: int = SLICE_BYTES):
+def text_blocks(column, is_word: np.ndarray | None, slice_bytes: int = SLICE_BYTES):
     """Words of an Arrow string column, slice by slice; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -53,7 +53,7 @@ def _logistic_tables():
 
     squash = [max(32, min(65536 - 32, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)]
     stretch = [max(-2047, min(2047, round(256 * math.log((i + 0.5) / (4096 - i - 0.5))))) for i in range(4096)]
-    return np.array(squash, np.int64), np.array(stretch, np.int64)
+    return np.array(squash, np.int32), np.array(stretch, np.int32)
 
 
 _SQUASH, _STRETCH = _logistic_tables()
@@ -63,11 +63,23 @@ class DamagedBlock(ValueError):
     pass
 
 
+#: State of a prediction after a miss (0-7) and after a hit (8-15).
+_NEXT = np.array([s >> 1 for s in range(_STATES)] + [min(s + 1, _STATES - 1) for s in range(_STATES)], np.int32)
+#: Of each key of ``_Mixer.predict``: the states of order 1 and 2, whether order 2 has a
+#: candidate, whether order 1 agrees, whether order 1 has one.
+_KEY1, _KEY2, _TWO, _AGREE, _ONE = (np.arange(512) >> shift & mask for shift, mask in ((0, 7), (3, 7), (6, 1), (7, 1), (8, 1)))
+_KIND = _TWO * 2 + _AGREE
+
+
 class _Mixer:
-    """The model of a block. All lanes read it, then all lanes update it."""
+    """The model of a block. All lanes read it, then all lanes update it. Tables are read
+    by ``take`` in the mode that checks no bounds; -1 is their last place."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.count = np.ones(vocabulary, np.int64)
+        # One more, which stays 0, for no candidate.
+        self.counts = np.ones(vocabulary + 1, np.int64)
+        self.counts[-1] = 0
+        self.count = self.counts[:-1]
         self.held, self.steps = [], 0
         # The id that followed and, in the lowest bits, how sure that is.
         self.next1, self.next2 = np.full(vocabulary + 1, -_STATES, np.int32), np.full(_H2, -_STATES, np.int32)
@@ -78,52 +90,91 @@ class _Mixer:
         self.weights[2] = 1 << 13
         self.before1 = np.full(lanes, vocabulary, np.int64)
         self.before2 = np.full(lanes, vocabulary, np.int64)
+        self.cumulative = np.zeros(vocabulary + 1, np.int64)
         self._sum()
+        self._tables()
+
+    def _tables(self):
+        """By key, what orders 1 and 2 say and its part of the mix, and the weight of order
+        0. Weights are under 2 ** 19 and stretched odds under 2 ** 11: 32 bits hold a mix."""
+        odds = [_STRETCH[np.minimum(4095, (h << 12) // s)] for h, s in zip(self.hits, self.seen, strict=True)]
+        o1 = odds[0][_KEY1]
+        self.x = np.where(_TWO, odds[1][_KEY2], 0), np.where(_AGREE, o1, -o1 >> 1)
+        w = self.weights[:, _KIND].astype(np.int32)
+        self.mixed, self.weight0 = w[0] * self.x[0] + w[1] * self.x[1], w[2]
 
     def _sum(self):
-        self.cumulative = np.zeros(len(self.count) + 1, np.int64)
         np.cumsum(self.count, out=self.cumulative[1:])
         self.total = int(self.cumulative[-1])
 
     def predict(self, n: int):
-        """(candidate or -1, probability of a hit in 65536ths) of lanes 0..n-1."""
+        """(candidate or -1, probability of a hit in 65536ths, 0 without one) of lanes
+        0..n-1. What orders 1 and 2 say is one of 512 keys."""
         b1, b2 = self.before1[:n], self.before2[:n]
-        self.h2 = ((b2 * 0x9E3779B1 + b1 * 0x85EBCA6B) >> 7) & (_H2 - 1)
-        n1, n2 = self.next1[b1], self.next2[self.h2]
+        h2 = b2 * 0x9E3779B1
+        h2 += b1 * 0x85EBCA6B
+        h2 >>= 7
+        h2 &= _H2 - 1
+        self.h2 = h2
+        n1, n2 = self.next1.take(b1, mode="wrap"), self.next2.take(h2, mode="wrap")
         self.c1, self.c2, self.s1, self.s2 = n1 >> 3, n2 >> 3, n1 & 7, n2 & 7
-        odds = [_STRETCH[np.minimum(4095, (h << 12) // s)] for h, s in zip(self.hits, self.seen, strict=True)]
-        two = self.c2 >= 0
-        self.candidate = np.where(two, self.c2, self.c1)
-        agree = self.c1 == self.candidate
-        self.kind = two * 2 + agree
-        o1 = odds[0][self.s1]
-        self.x = (np.where(two, odds[1][self.s2], 0), np.where(agree, o1, -o1 >> 1), _STRETCH[np.minimum(4095, (self.count[self.candidate] << 12) // self.total)])
-        w = self.weights[:, self.kind]
-        dot = (w[0] * self.x[0] + w[1] * self.x[1] + w[2] * self.x[2]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        two = n2 >= 0
+        candidate = np.where(two, self.c2, self.c1)
+        key = (self.c1 == candidate).astype(np.int32)
+        key <<= 7
+        key |= self.s2 << 3
+        key |= self.s1
+        key |= two.astype(np.int32) << 6
+        key |= (n1 >= 0).astype(np.int32) << 8
+        self.key = key.astype(np.int64)
+        self.candidate = candidate.astype(np.int64)
+        zero = self.counts.take(self.candidate, mode="wrap")
+        zero <<= 12
+        zero //= self.total
+        self.x0 = _STRETCH.take(np.minimum(zero, 4095, out=zero), mode="wrap")
+        dot = self.weight0.take(self.key, mode="wrap")
+        dot *= self.x0
+        dot += self.mixed.take(self.key, mode="wrap")
+        dot >>= 16
+        dot += 2047
+        self.p = _SQUASH.take(dot, mode="clip")
+        self.p *= candidate >= 0
         return self.candidate, self.p
 
     def without(self, tried: np.ndarray, ids: np.ndarray):
-        """(ids, their first cumulative count, count left out) after tried (or -1) has
-        been excluded from order 0."""
-        gone = np.where(tried >= 0, self.count[tried], 0)
-        return ids, self.cumulative[ids] - np.where(tried < ids, gone, 0), gone
-
-    def update(self, ids: np.ndarray, n: int):
-        right1, right2 = self.c1 == ids, self.c2 == ids
+        """(first cumulative count of ids, count left out) after tried (or -1) has been
+        excluded from order 0."""
+        gone = self.counts.take(tried, mode="wrap")
+        return self.cumulative.take(ids, mode="wrap") - gone * (tried < ids), gone
+
+    def update(self, ids: np.ndarray, hit: np.ndarray, n: int):
+        """hit: where the candidate was right."""
+        new = ids.astype(np.int32)
+        right1, right2 = (self.c1 == new).astype(np.int32), (self.c2 == new).astype(np.int32)
+        right1 <<= 3
+        right2 <<= 3
         if self.steps % 2 == 0:  # weights and odds learn from every second step
-            some = self.candidate >= 0
-            error = np.where(some, ((right2 | (right1 & (self.c2 < 0))).astype(np.int64) << 16) - self.p, 0)
-            seen = np.bincount(self.kind, minlength=4) + 64
-            for k in range(3):
-                self.weights[k] += np.bincount(self.kind, error * self.x[k], minlength=4).astype(np.int64) // (seen * 256)
-            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
-            for k, (c, s, right) in enumerate(((self.c1, self.s1, right1), (self.c2, self.s2, right2))):
-                self.seen[k] += np.bincount(s[c >= 0], minlength=_STATES)
-                self.hits[k] += np.bincount(s[right], minlength=_STATES)
-        b1, new = self.before1[:n], ids.astype(np.int32) << 3
-        self.next1[b1] = new | np.where(right1, np.minimum(self.s1 + 1, _STATES - 1), self.s1 >> 1)
-        self.next2[self.h2] = new | np.where(right2, np.minimum(self.s2 + 1, _STATES - 1), self.s2 >> 1)
+            # Times each key came, by whether orders 1 and 2 were right.
+            came = np.bincount(self.key + (right1 << 6) + (right2 << 7), minlength=2048).reshape(2, 2, 512)
+            each = came.sum(axis=(0, 1))
+            error = (hit.astype(np.int32) << 16) - self.p
+            by_key = np.bincount(self.key, error, minlength=512).astype(np.int64)
+            by_zero = np.bincount(self.key, error * self.x0, minlength=512)
+            seen = (np.bincount(_KIND, each, minlength=4).astype(np.int64) + 64) * 256
+            for k, moved in enumerate((by_key * self.x[0], by_key * self.x[1], by_zero)):
+                self.weights[k] += np.bincount(_KIND, moved, minlength=4).astype(np.int64) // seen
+            np.maximum(self.weights, -(1 << 18), out=self.weights)
+            np.minimum(self.weights, 1 << 18, out=self.weights)
+            for k, (state, there, right) in enumerate(((_KEY1, _ONE, came[:, 1].sum(axis=0)), (_KEY2, _TWO, came[1].sum(axis=0)))):
+                self.seen[k] += np.bincount(state, each * there, minlength=_STATES).astype(np.int64)
+                self.hits[k] += np.bincount(state, right, minlength=_STATES).astype(np.int64)
+            self._tables()
+        b1 = self.before1[:n]
+        new <<= 3
+        self.s1 |= right1
+        self.s2 |= right2
+        self.next1[b1] = new | _NEXT.take(self.s1, mode="wrap")
+        self.next2[self.h2] = new | _NEXT.take(self.s2, mode="wrap")
         self.before2[:n] = b1
         self.before1[:n] = ids
         self.held.append(ids)
@@ -135,7 +186,8 @@ class _Mixer:
 
 
 def _u(x) -> np.ndarray:
-    return x.astype(np.uint64)
+    """Integers that are not negative, unsigned."""
+    return x.view(np.uint64)
 
 
 def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
@@ -148,39 +200,40 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
     short = len(ids) - (lanes - 1) * STEPS
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 56) - 1, np.uint64)
     digits = np.zeros((lanes, STEPS * 3 + 2), np.uint32)
-    at = np.zeros(lanes, np.int64)
-    rows = np.arange(lanes)
+    flat, rows = digits.reshape(-1), np.arange(lanes) * digits.shape[1]
+    at = rows.copy()
     for step in range(STEPS):
         n = lanes if step < short else lanes - 1
         if not n:
             break
         now = grid[step, :n]
         candidate, p = model.predict(n)
-        some = candidate >= 0
-        hit = (now == candidate) & some
-        p = _u(np.where(some, p, 0))
+        hit = now == candidate
         lo, sp = low[:n], span[:n]
-        r = sp >> _16
-        cut = r * p
-        sp = np.where(hit, cut, np.where(some, sp - cut, sp))
-        lo = lo + np.where(hit, np.uint64(0), cut)
+        cut = sp >> _16
+        cut *= p.astype(np.uint64)
+        lo += cut * ~hit
+        sp[:] = np.where(hit, cut, sp - cut)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            got, first, gone = model.without(candidate[miss], now[miss])
-            r = sp[miss] // _u(model.total - gone)
+            got = now.take(miss, mode="wrap")
+            first, gone = model.without(candidate.take(miss, mode="wrap"), got)
+            r = sp.take(miss, mode="wrap") // _u(model.total - gone)
             lo[miss] += r * _u(first)
-            sp[miss] = r * _u(model.count[got])
+            sp[miss] = r * _u(model.count.take(got, mode="wrap"))
         # Digits are of 16 bits and a carry.
-        while len(todo := np.flatnonzero(sp < _MIN)):
-            digits[rows[todo], at[todo]] = lo[todo] >> _40
-            at[todo] += 1
-            lo[todo] = (lo[todo] & _LOW) << _16
-            sp[todo] <<= _16
-        low[:n], span[:n] = lo, sp
-        model.update(now, n)
+        todo = np.flatnonzero(sp < _MIN)
+        while len(todo):
+            part, to, wide = lo.take(todo, mode="wrap"), at.take(todo, mode="wrap"), sp.take(todo, mode="wrap") << _16
+            flat[to] = part >> _40
+            at[todo] = to + 1
+            lo[todo] = (part & _LOW) << _16
+            sp[todo] = wide
+            todo = todo[wide < _MIN]
+        model.update(now, hit, n)
     # The one digit whose continuation by zeros lies inside the last span.
-    digits[rows, at] = (low + _LOW) >> _40
-    at += 1
+    flat[at] = (low + _LOW) >> _40
+    at += 1 - rows
     for j in range(int(at.max()) - 1, 0, -1):
         digits[:, j - 1] += digits[:, j] >> 16
     digits &= 0xFFFF
@@ -191,66 +244,58 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
 def decode_ids(data: bytes, n_ids: int, lanes: int, vocabulary: int) -> np.ndarray:
     model = _Mixer(vocabulary, lanes)
     sizes = np.frombuffer(data, "<u2", lanes).astype(np.int64)
-    digits = np.concatenate([np.frombuffer(data, "<u2", offset=2 * lanes), np.zeros(8, np.uint16)]).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    at = ends - sizes
-    if int(ends[-1]) + 8 != len(digits):
+    own = np.frombuffer(data, "<u2", offset=2 * lanes)
+    if int(sizes.sum()) != len(own):
         raise DamagedBlock("lengths of lanes")
+    # Zeros follow the digits of each lane.
+    at = np.cumsum(sizes + 8) - sizes - 8
+    digits = np.zeros(len(own) + 8 * lanes + 1, np.uint64)
+    digits[np.arange(len(own)) + np.repeat(8 * np.arange(lanes), sizes)] = own
     code = np.zeros(lanes, np.uint64)
-
-    def take(lane):
-        d = np.where(at[lane] < ends[lane], digits[np.minimum(at[lane], len(digits) - 1)], np.uint64(0))
-        at[lane] += 1
-        return d
-
-    every = np.arange(lanes)
     # The code holds 56 bits: three digits and the upper half of the next.
-    for shift in (40, 24, 8):
-        code += take(every) << np.uint64(shift)
-    code += take(every) >> np.uint64(8)
-    at -= 1
+    for k, shift in enumerate((40, 24, 8)):
+        code += digits[at + k] << np.uint64(shift)
+    at += 3
+    code += digits[at] >> np.uint64(8)
+    # 16 bits from the middle of one digit to that of the next.
+    following = ((digits[:-1] & np.uint64(255)) << np.uint64(8)) | (digits[1:] >> np.uint64(8))
     span = np.full(lanes, (1 << 56) - 1, np.uint64)
     out = np.zeros((STEPS, lanes), np.int64)
     short = n_ids - (lanes - 1) * STEPS
-
-    def following(lane):
-        """16 bits from the middle of one digit to that of the next."""
-        i = at[lane]
-        a = np.where(i < ends[lane], digits[np.minimum(i, len(digits) - 1)], np.uint64(0))
-        b = np.where(i + 1 < ends[lane], digits[np.minimum(i + 1, len(digits) - 1)], np.uint64(0))
-        at[lane] += 1
-        return ((a & np.uint64(255)) << np.uint64(8)) | (b >> np.uint64(8))
-
     for step in range(STEPS):
         n = lanes if step < short else lanes - 1
         if not n:
             break
         candidate, p = model.predict(n)
-        some = candidate >= 0
-        p = _u(np.where(some, p, 0))
         co, sp = code[:n], span[:n]
-        cut = (sp >> _16) * p
-        hit = (co < cut) & some
-        sp = np.where(hit, cut, np.where(some, sp - cut, sp))
-        co = co - np.where(hit, np.uint64(0), cut)
-        now = np.where(hit, candidate, 0).astype(np.int64)
+        cut = sp >> _16
+        cut *= p.astype(np.uint64)
+        hit = co < cut
+        co -= cut * ~hit
+        sp[:] = np.where(hit, cut, sp - cut)
+        now = out[step, :n]
+        now[:] = candidate
         miss = np.flatnonzero(~hit)
         if len(miss):
-            tried = candidate[miss]
-            gone = np.where(tried >= 0, model.count[tried], 0)
-            r = sp[miss] // _u(model.total - gone)
-            value = np.minimum((co[miss] // r).astype(np.int64), model.total - gone - 1)
-            value += np.where((tried >= 0) & (value >= model.cumulative[tried]), gone, 0)
-            got, first, _ = model.without(tried, np.searchsorted(model.cumulative, value, "right") - 1)
+            tried, width = candidate.take(miss, mode="wrap"), sp.take(miss, mode="wrap")
+            gone = model.counts.take(tried, mode="wrap")
+            r = width // _u(model.total - gone)
+            left = co.take(miss, mode="wrap")
+            value = np.minimum((left // r).view(np.int64), model.total - gone - 1)
+            value += gone * (value >= model.cumulative.take(tried, mode="wrap"))
+            got = np.searchsorted(model.cumulative, value, "right") - 1
+            first, _ = model.without(tried, got)
             now[miss] = got
-            co[miss] -= r * _u(first)
-            sp[miss] = r * _u(model.count[got])
-        while len(todo := np.flatnonzero(sp < _MIN)):
-            co[todo] = (co[todo] << _16) | following(todo)
-            sp[todo] <<= _16
-        code[:n], span[:n] = co, sp
-        model.update(now, n)
-        out[step, :n] = now
+            co[miss] = left - r * _u(first)
+            sp[miss] = r * _u(model.count.take(got, mode="wrap"))
+        todo = np.flatnonzero(sp < _MIN)
+        while len(todo):
+            to, wide = at.take(todo, mode="wrap"), sp.take(todo, mode="wrap") << _16
+            co[todo] = (co.take(todo, mode="wrap") << _16) | following.take(to, mode="clip")
+            at[todo] = to + 1
+            sp[todo] = wide
+            todo = todo[wide < _MIN]
+        model.update(now, hit, n)
     return out.T.ravel()[:n_ids]
 
 
@@ -290,7 +335,8 @@ _CLASS[48:58] = 2
 #: beyond ASCII that are not letters. The tokenizer reads them whole.
 _HARD = r"'|[^\x00-\x7F\p{L}]"
 _CACHE = 1_000_000
-_ANY = np.ones(256, bool)
+_LAST_BITS = 20
+_UP = np.arange(1, 257, dtype=np.uint64)
 
 
 class Pieces:
@@ -313,6 +359,8 @@ class Pieces:
 
     def clear(self):
         self.slot, self.ids, self.first, self.size, self.used, self.n = {}, np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        # The slot met last for the upper bits of a hash, and the hash of each slot.
+        self.last, self.hash = np.zeros(1 << _LAST_BITS, np.int32), np.zeros(1 << 16, np.uint64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -323,24 +371,25 @@ class Pieces:
         if size > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(size, len(self.ids)), np.int32)])
         if self.n + len(texts) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros(max(len(texts), len(x)), np.int64)]) for x in (self.first, self.size))
+            self.first, self.size, self.hash = (np.concatenate([x, np.zeros(max(len(texts), len(x)), x.dtype)]) for x in (self.first, self.size, self.hash))
         found = [[t.id for t in merge(x)] for x in texts]
         sizes = np.array([len(x) for x in found], np.int64)
         n, used = len(found), int(sizes.sum())
         self.ids[self.used : self.used + used] = np.fromiter((i for x in found for i in x), np.int32, used)
         self.first[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + n] = sizes
-        self.slot.update(zip(hashes, range(self.n, self.n + n), strict=True))
+        self.hash[self.n : self.n + n] = hashes
+        self.slot.update(zip(hashes.tolist(), range(self.n, self.n + n), strict=True))
         self.used += used
         self.n += n
 
     def slice(self, w) -> list[np.ndarray]:
-        """Ids of each text of a slice (a Words over any byte), without end ids."""
+        """Ids of each text of a slice (Words of bytes alone), without end ids."""
         data, o = w.data, w.offsets
         n = len(data)
         if not n:
             return [np.zeros(0, np.int32)] * (len(o) - 1)
-        c = _CLASS[data]
+        c = _CLASS.take(data, mode="wrap")
         start = np.zeros(n + 1, bool)
         space = c == 0
         prev, nxt = np.empty(n, np.int8), np.empty(n, np.int8)
@@ -357,24 +406,29 @@ class Pieces:
         s = np.flatnonzero(start[:n])
         e = np.append(s[1:], n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _pow.upto(n), out=sums[1:])
-        h = mix64((sums[e] - sums[s]) * _inv.upto(n)[s])
-        known, first, at = np.unique(h, return_index=True, return_inverse=True)
+        np.cumsum(_UP.take(data, mode="wrap") * _pow.upto(n), out=sums[1:])
+        h = mix64((sums.take(e, mode="wrap") - sums.take(s, mode="wrap")) * _inv.upto(n).take(s, mode="wrap"))
         if self.n > _CACHE:
             self.clear()
-        get, keys = self.slot.get, known.tolist()
-        slots = np.array([get(x, -1) for x in keys], np.int64)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            base = self.n
-            shown = self.shown[data].tobytes().decode("utf-32-le")
-            at_new = first[new]
-            self.add([keys[i] for i in new.tolist()], [shown[a:b] for a, b in zip(s[at_new].tolist(), e[at_new].tolist(), strict=True)])
-            slots[new] = np.arange(base, base + len(new))
-        slots = slots[at]
-        size = self.size[slots]
+        place = (h >> np.uint64(64 - _LAST_BITS)).view(np.int64)
+        slots = self.last.take(place, mode="wrap").astype(np.int64)
+        left = np.flatnonzero(self.hash.take(slots, mode="wrap") != h) if self.n else np.arange(len(h))
+        if len(left):
+            known, first, at = np.unique(h[left], return_index=True, return_inverse=True)
+            get = self.slot.get
+            found = np.array([get(x, -1) for x in known.tolist()], np.int64)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                base = self.n
+                shown = self.shown[data].tobytes().decode("utf-32-le")
+                at_new = left[first[new]]
+                self.add(known[new], [shown[a:b] for a, b in zip(s[at_new].tolist(), e[at_new].tolist(), strict=True)])
+                found[new] = np.arange(base, base + len(new))
+            slots[left] = found[at]
+            self.last[place[left[first]]] = found
+        size = self.size.take(slots, mode="wrap")
         ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[slots] - ends + size, size) + np.arange(ends[-1])]
+        flat = self.ids.take(np.repeat(self.first.take(slots, mode="wrap") - ends + size, size) + np.arange(ends[-1]), mode="wrap")
         bounds = np.concatenate([[0], ends])[np.searchsorted(s, o)]
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -383,7 +437,7 @@ class Pieces:
             column = column.fill_null("")
         hard = pc.match_substring_regex(column, self.hard)
         easy = pc.if_else(hard, "", column)
-        out = [x for w in text_blocks(easy, _ANY) for x in self.slice(w)]
+        out = [x for w in text_blocks(easy, None) for x in self.slice(w)]
         for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
             out[i] = self.whole(column[i].as_py())
         return out

@@ -614,3 +614,28 @@ def test_matches_of_settled_groups_are_told_once_a_run():
     hits, links = substring_dedup._said(found, *(list(range(n)), [7] * n, list(range(n)), list(range(n)), list(range(n))))
     assert len(hits) == n and len(links) == n - 1
     assert [hits[i, 0, 3] for i in (0, 5, n - 1)] == [(7, 0, 1, n - 1), (7, 5, 0, n - 1), (7, n - 1, 0, n - 2)]
+
+
+def test_files_of_token_ids_stay_as_they_are():
+    ids = np.array([i * i % 997 for i in range(30_000)], np.int64)
+    lanes, data = tokens.encode_ids(ids, 1000)
+    assert (lanes, len(data), zlib.crc32(data)) == (235, 2868, 1415911204)
+    assert (tokens.decode_ids(data, len(ids), lanes, 1000) == ids).all()
+
+
+def test_pieces_that_were_met_are_found_without_sorting(monkeypatch):
+    import public_tokenizers
+
+    pieces = tokens.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(4)
+    texts = [words(r, 300, 50) for _ in range(20)]
+    first = pieces.batch(pa.array(texts))
+    sorted_, real = [], np.unique
+    monkeypatch.setattr(tokens.np, "unique", lambda x, **k: sorted_.append(len(x)) or real(x, **k))
+    again = pieces.batch(pa.array([*texts, "unheard of"]))
+    assert sum(sorted_) < 10
+    monkeypatch.undo()
+    assert all((a == b).all() for a, b in zip(first, again, strict=False))
+    assert all(x.tolist() == pieces.whole(t).tolist() for x, t in zip(again, [*texts, "unheard of"], strict=True))
+    pieces.clear()
+    assert all((a == b).all() for a, b in zip(again, pieces.batch(pa.array([*texts, "unheard of"])), strict=True))
