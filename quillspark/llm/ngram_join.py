@@ -110,34 +110,33 @@ def sketch(docs: DataFrame, k: int = K) -> DataFrame:
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot, tokens_only: bool) -> DataFrame:
     """Prefix tokens under the first order; a class that a task has met before
-    gives no further rows. tokens_only: (token); else (token, cls, doc, n,
-    pos, own), pos being the place of the token in the order, own the document's
-    tokens that are not frequent."""
+    gives no further rows. tokens_only: (token); else (token, cls, n, pos, own), pos
+    being the place of the token in the order, own the document's tokens that are not
+    frequent."""
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["token"] if tokens_only else ["token", "cls", "doc", "n", "pos", "own"]
+    names = ["token"] if tokens_only else ["token", "cls", "n", "pos", "own"]
 
     def run(batches):
         late, met = hot_sent.value, set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in text_blocks(batch.column(1), NON_SPACE, SMALL_SLICE):
+            for w in text_blocks(batch.column(0), NON_SPACE, SMALL_SLICE):
                 g, out = w.grams(k), []
                 for d in range(len(w.at) - 1):
                     s = doc_shingles(w, k, g, d)
                     if not len(s) or (c := int(np.sum(s, dtype=np.uint64))) in met:
                         continue
                     met.add(c)
-                    out.append((in_order(s, ORDERS[0], late, prefix_length(len(s), percent)), c, ids[w.first + d], len(s), len(s) - _frequent(s, late).sum()))
+                    out.append((in_order(s, ORDERS[0], late, prefix_length(len(s), percent)), c, len(s), len(s) - _frequent(s, late).sum()))
                 if not out:
                     continue
                 sizes = [len(x[0]) for x in out]
                 columns = [_signed(np.concatenate([x[0] for x in out]))]
                 if not tokens_only:
-                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int64), sizes), np.repeat(np.array([x[3] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.repeat(np.array([x[4] for x in out], np.int32), sizes)]
+                    columns += [np.repeat(_signed(np.array([x[1] for x in out], np.uint64)), sizes), np.repeat(np.array([x[2] for x in out], np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.repeat(np.array([x[3] for x in out], np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long" if tokens_only else "token long, cls long, doc long, n int, pos int, own int")
+    return docs.select("text").mapInArrow(run, "token long" if tokens_only else "token long, cls long, n int, pos int, own int")
 
 
 def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarray:
@@ -152,11 +151,11 @@ def hot_tokens(docs: DataFrame, k: int = K, percent: int = PERCENT) -> np.ndarra
 
 
 def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(token, cls, doc, n, pos, own): prefix tokens that two classes or more have, one row a
+    """(token, cls, n, pos, own): prefix tokens that two classes or more have, one row a
     class. Dealt by token once; runs are found while streaming, never gathered."""
-    dealt = _prefixes(docs, k, percent, hot, False).repartition("token").sortWithinPartitions("token", "cls", "doc")
-    names = ["token", "cls", "doc", "n", "pos", "own"]
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+    dealt = _prefixes(docs, k, percent, hot, False).repartition("token").sortWithinPartitions("token", "cls")
+    names = ["token", "cls", "n", "pos", "own"]
+    kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
 
     def shared(batches):
         held = None  # the last row of the batch before, if its token may go on
@@ -165,7 +164,7 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
             if not batch.num_rows:
                 continue
             t, c = (batch.column(i).to_numpy() for i in (0, 1))
-            rows = [batch.column(i).to_numpy() for i in range(6)]
+            rows = [batch.column(i).to_numpy() for i in range(len(names))]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             if held is not None:
@@ -184,12 +183,13 @@ def groups(docs: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT)
         if held is not None and held_shared:
             yield pa.RecordBatch.from_arrays([pa.array(np.array([h], ty)) for h, ty in zip(held, kinds, strict=True)], names)
 
-    return dealt.mapInArrow(shared, "token long, cls long, doc long, n int, pos int, own int")
+    return dealt.mapInArrow(shared, "token long, cls long, n int, pos int, own int")
 
 
 def candidates(docs: DataFrame, reps: DataFrame, hot: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, v, text, firsts) of the texts that stand for a class in some group:
-    firsts holds the prefixes under every further order, 32 bits a token, sorted."""
+    """(doc_id, v, firsts) of the texts that stand for a class in some group, and of a
+    few others: firsts holds the prefixes under every further order, 32 bits a token,
+    sorted. No text moves and none is written."""
     hot_sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -202,19 +202,19 @@ def candidates(docs: DataFrame, reps: DataFrame, hot: np.ndarray, k: int = K, pe
                     s = doc_shingles(w, k, g, d)
                     n = prefix_length(len(s), percent)
                     out.append(b"".join(np.sort(in_order(s, o, late, n).astype("<u4")).tobytes() for o in ORDERS[1:]) if n else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "v", "text", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "v", "firsts"])
         trim()
 
     small_arrow(docs.sparkSession)
-    return among(docs, ["doc_id", "v"], reps).join(reps, ["doc_id", "v"]).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, text string, firsts binary")
+    return among(docs, ["doc_id", "v"], reps).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v int, firsts binary")
 
 
-def share_prefixes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def share_prefixes(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs that share prefix tokens under every further order. Equal tokens have
     equal 32 bits, so no pair that does is lost; the few bytes of the prefixes move,
     texts do not."""
     schema = pairs.schema
-    side = lambda s, v, f: texts.select(F.col("doc_id").alias(s), F.col("v").alias(v), F.col("firsts").alias(f))
+    side = lambda s, v, f: firsts.select(F.col("doc_id").alias(s), F.col("v").alias(v), F.col("firsts").alias(f))
 
     def run(batches):
         for batch in batches:
@@ -304,12 +304,14 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
     classes = durable(classes.select("d1", "d2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.v").alias("v"), F.col("least.parity").alias("parity")))
     parities = classes.select("rep", "v", "parity")
     # A class stands in its groups by any member; from here on by its smallest.
-    members = groups(docs, hot, k, percent).select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
+    shared = durable(groups(docs, hot, k, percent))
+    collect_shuffles(docs.sparkSession)
+    members = shared.select("token", F.col("cls").alias("d1"), F.col("n").cast("long").alias("n_shingles"), "pos", "own")
     rows = durable(members.join(classes.select("d1", "n_shingles", "rep", "v"), ["d1", "n_shingles"]).select("token", "rep", "v", F.col("n_shingles").alias("n"), "pos", (1000 * F.col("own") / F.col("n_shingles")).cast("int").alias("apart")).distinct())
     size = rows.count()
-    collect_shuffles(docs.sparkSession)
+    release(shared)
     reps = durable(rows.select(F.col("rep").alias("doc_id"), "v").distinct())
-    texts = durable(candidates(docs, reps, hot, k, percent))
+    firsts = durable(candidates(docs, reps, hot, k, percent))
     release(reps)
     found, done = [], []
     labelled = rows.withColumn("comp", F.col("rep"))
@@ -329,8 +331,8 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
         for old in done:
             pairs = pairs.join(old.select(*_PAIR), _PAIR, "left_anti")
         pairs = durable(pairs)
-        kept = durable(share_prefixes(pairs, among(texts, ["doc_id", "v"], _ends(pairs))))
-        new = durable(verify(kept, among(texts, ["doc_id", "v"], _ends(kept)), k, percent))
+        kept = durable(share_prefixes(pairs, among(firsts, ["doc_id", "v"], _ends(pairs))))
+        new = durable(verify(kept, among(docs, ["doc_id", "v"], _ends(kept)), k, percent))
         release(kept)
         found.append(new)
         done.append(pairs)
@@ -343,7 +345,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = K, percent: int = PERCE
         if k_round:
             release(before)
     out = durable(functools.reduce(DataFrame.union, found).select("u", "v")) if found else docs.sparkSession.createDataFrame([], "u long, v long")
-    release(classes, rows, labelled, texts, *found, *done)
+    release(classes, rows, labelled, firsts, *found, *done)
     return out
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, SMALL_SLICE, _qinv, _qpow, among, components, durable, mix64, read, release, small_arrow, text_blocks
+from .common import NON_SPACE, SMALL_SLICE, _qinv, _qpow, among, collect_shuffles, components, durable, mix64, read, release, small_arrow, text_blocks
 
 PARAGRAPH = 50
 K = 5
@@ -133,7 +133,8 @@ def anchors(docs: DataFrame, bands: int, size: int = PARAGRAPH, k: int = K) -> D
 
 def contexts(classes: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int = K) -> DataFrame:
     """(key, cls, lo, hi, n, off, ctx): the shingles of each class's paragraphs, 32
-    bits each. classes: key, cls, lo, v, pos, m, off, hi, n; a text is read once."""
+    bits each. classes: durable; key, cls, lo, v, pos, m, off, hi, n; a text is read once
+    and moves if a class is read from it."""
     asked = classes.groupBy(F.col("lo").alias("doc_id"), "v").agg(F.collect_list(F.struct("key", "cls", "pos", "m", "off", "hi", "n")).alias("asked"))
     names = ["key", "cls", "lo", "hi", "n", "off", "ctx"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -153,7 +154,7 @@ def contexts(classes: DataFrame, docs: DataFrame, size: int = PARAGRAPH, k: int
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
     small_arrow(docs.sparkSession)
-    return docs.join(asked, ["doc_id", "v"]).select("doc_id", "text", "asked").mapInArrow(run, "key long, cls long, lo long, hi long, n long, off int, ctx binary")
+    return among(docs, ["doc_id", "v"], classes.select("lo", "v")).join(asked, ["doc_id", "v"]).select("doc_id", "text", "asked").mapInArrow(run, "key long, cls long, lo long, hi long, n long, off int, ctx binary")
 
 
 # ----------------------------------------------------------------- comparison
@@ -437,14 +438,16 @@ def matches(docs: DataFrame, size: int = PARAGRAPH, k: int = K, percent: int = P
     v, text."""
     docs = docs.where("doc_id is not null and text is not null")
     raw = durable(anchors(docs, tune_bands(percent, recall), size, k))
-    shared = raw.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    live = durable(raw.join(shared, "key"))
-    release(raw)
+    shared = durable(raw.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key"))
+    collect_shuffles(docs.sparkSession)
+    live = durable(among(raw, ["key"], shared).join(shared, "key"))
+    release(raw, shared)
     classes = live.groupBy("key", "cls").agg(F.min(F.struct("doc", "v", "pos")).alias("at"), F.max("doc").alias("hi"), F.first("m").alias("m"), F.first("off").alias("off"), F.sum("reps").alias("n"))
     classes = durable(classes.select("key", "cls", F.col("at.doc").alias("lo"), F.col("at.v").alias("v"), F.col("at.pos").alias("pos"), "m", "off", "hi", "n"))
     several = classes.groupBy("key").count().where("count > 1").select("key")
-    ctx = contexts(classes.join(several, "key"), docs, size, k)
-    ctx = durable(ctx.withColumn("id", F.monotonically_increasing_id()))
+    asked = durable(classes.join(several, "key"))
+    ctx = durable(contexts(asked, docs, size, k).withColumn("id", F.monotonically_increasing_id()))
+    release(asked)
     hits = [classes.where("lo < hi").select("key", "cls", F.array(F.array(F.lit(0), "m")).alias("runs"), F.col("lo").alias("low"), F.col("hi").alias("high"))]
     links = [live.select("key", "cls", "doc").join(classes.where("lo < hi").select("key", "cls", "lo"), ["key", "cls"]).where("doc <> lo").select(F.col("doc").alias("u"), F.col("lo").alias("v")).distinct()]
     rounds = []

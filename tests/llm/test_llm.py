@@ -639,3 +639,29 @@ def test_pieces_that_were_met_are_found_without_sorting(monkeypatch):
     assert all(x.tolist() == pieces.whole(t).tolist() for x, t in zip(again, [*texts, "unheard of"], strict=True))
     pieces.clear()
     assert all((a == b).all() for a, b in zip(again, pieces.batch(pa.array([*texts, "unheard of"])), strict=True))
+
+
+def test_ngram_join_writes_and_shuffles_no_text_for_candidates(spark):
+    docs = spark.createDataFrame([(i, 0, words(random.Random(i), 30)) for i in range(200)], "doc_id long, v int, text string")
+    reps = docs.where("doc_id % 20 = 0").select("doc_id", "v")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join.candidates(docs, reps, np.zeros(0, np.uint64))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found.columns == ["doc_id", "v", "firsts"]
+    assert "hashpartitioning" not in plan
+    got = {r.doc_id for r in found.collect()}
+    assert set(range(0, 200, 20)) <= got and len(got) < 40
+
+
+def test_contexts_move_only_texts_that_classes_are_read_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, 0, words(random.Random(i), 80)) for i in range(200)], "doc_id long, v int, text string")
+    classes = spark.createDataFrame([(1, 10 + i, i, 0, 2, 3, 7, 199, 1) for i in (20, 40)], "key long, cls long, lo long, v int, pos int, m int, off int, hi long, n long")
+    moved, real = [], substring_dedup.among
+    monkeypatch.setattr(substring_dedup, "among", lambda df, *a: moved.append(real(df, *a)) or moved[-1])
+    got = {r.cls: r for r in substring_dedup.contexts(classes, docs).collect()}
+    assert len(moved) == 1 and 2 <= moved[0].count() < 10
+    assert {c: (r.lo, r.hi, r.n, r.off, len(r.ctx)) for c, r in got.items()} == {30: (20, 199, 1, 7, 4 * 48), 50: (40, 199, 1, 7, 4 * 48)}
