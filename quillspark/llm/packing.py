@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read, release, small_arrow
+from .common import durable, read, release, small_arrow, trim
 from .tokens import END_ID, pieces_of
 
 MAX_LEN = 4096
@@ -44,6 +44,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         pieces = pieces_of(tokenizer_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) + 1 for x in pieces.batch(batch.column(2))], pa.int64())], ["doc_id", "h", "n_tokens"])
+        trim()
 
     small_arrow(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n_tokens long")
@@ -137,6 +138,7 @@ def batch_ids(docs: DataFrame, placed: DataFrame, tokenizer_path: str, max_len:
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 columns = [pa.array([p[c] for p in places], pa.int32() if c in ("segment", "bucket") else pa.int64()) for c in _PLACE]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(places), pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], ["doc_id", *_PLACE, "ids"])
+        trim()
 
     small_arrow(docs.sparkSession)
     same = texts["_doc"].eqNullSafe(asked["doc_id"]) & (texts["_h"] == asked["h"])

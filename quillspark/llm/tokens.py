@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _inv, _pow, checkpoint_dir, durable, mix64, read, small_arrow, text_blocks
+from .common import SMALL_SLICE, _inv, _pow, checkpoint_dir, durable, mix64, read, small_arrow, text_blocks
 
 LANES, STEPS = 4096, 128
 BLOCK = LANES * STEPS
@@ -358,13 +358,37 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.slot, self.ids, self.first, self.size, self.used, self.n = {}, np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        self.ids, self.first, self.size, self.used, self.n = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        # Slots by the lower bits of their hashes, or in the next free place; -1: free.
+        self.table = np.full(1 << 17, -1, np.int32)
         # The slot met last for the upper bits of a hash, and the hash of each slot.
         self.last, self.hash = np.zeros(1 << _LAST_BITS, np.int32), np.zeros(1 << 16, np.uint64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if it has none."""
+        out, left, mask = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), len(self.table) - 1
+        place = (hashes & np.uint64(mask)).view(np.int64)
+        while len(left):
+            slots = self.table[place]
+            hit = (slots >= 0) & (self.hash[slots] == hashes[left])
+            out[left[hit]] = slots[hit]
+            on = (slots >= 0) & ~hit
+            left, place = left[on], (place[on] + 1) & mask
+        return out
+
+    def enter(self, slots: np.ndarray) -> None:
+        """Put slots into the table; their hashes differ from all others."""
+        mask = len(self.table) - 1
+        place = (self.hash[slots] & np.uint64(mask)).view(np.int64)
+        while len(slots):
+            free = self.table[place] < 0
+            self.table[place[free]] = slots[free]
+            on = self.table[place] != slots
+            slots, place = slots[on], (place[on] + 1) & mask
+
     def add(self, hashes, texts) -> None:
         merge = self.tokenizer.model.tokenize
         size = self.used + sum(map(len, texts))  # an id has a byte at least
@@ -379,9 +403,12 @@ class Pieces:
         self.first[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + n] = sizes
         self.hash[self.n : self.n + n] = hashes
-        self.slot.update(zip(hashes.tolist(), range(self.n, self.n + n), strict=True))
         self.used += used
         self.n += n
+        fresh = np.arange(self.n - n, self.n)
+        if 2 * self.n > len(self.table):
+            self.table, fresh = np.full(1 << (4 * self.n).bit_length(), -1, np.int32), np.arange(self.n)
+        self.enter(fresh)
 
     def slice(self, w) -> list[np.ndarray]:
         """Ids of each text of a slice (Words of bytes alone), without end ids."""
@@ -415,8 +442,7 @@ class Pieces:
         left = np.flatnonzero(self.hash.take(slots, mode="wrap") != h) if self.n else np.arange(len(h))
         if len(left):
             known, first, at = np.unique(h[left], return_index=True, return_inverse=True)
-            get = self.slot.get
-            found = np.array([get(x, -1) for x in known.tolist()], np.int64)
+            found = self.find(known)
             new = np.flatnonzero(found < 0)
             if len(new):
                 base = self.n
@@ -437,7 +463,7 @@ class Pieces:
             column = column.fill_null("")
         hard = pc.match_substring_regex(column, self.hard)
         easy = pc.if_else(hard, "", column)
-        out = [x for w in text_blocks(easy, None) for x in self.slice(w)]
+        out = [x for w in text_blocks(easy, None, SMALL_SLICE) for x in self.slice(w)]
         for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
             out[i] = self.whole(column[i].as_py())
         return out

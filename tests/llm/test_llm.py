@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
@@ -641,6 +642,36 @@ def test_pieces_that_were_met_are_found_without_sorting(monkeypatch):
     assert all((a == b).all() for a, b in zip(again, pieces.batch(pa.array([*texts, "unheard of"])), strict=True))
 
 
+def test_pieces_take_little_memory_beside_their_ids():
+    import public_tokenizers
+
+    pieces = tokens.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{chr(97 + i % 26)}{i:x}" for i in range(s, s + 500)) for s in range(0, 100_000, 500)]
+    tracemalloc.start()
+    try:
+        got = pieces.batch(pa.array(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(x.tolist() == pieces.whole(t).tolist() for x, t in zip(got[::20], texts[::20], strict=True))
+    assert pieces.n > 20_000 and peak < 60e6
+
+
+def test_slots_of_equal_lower_bits_are_told_apart():
+    import public_tokenizers
+
+    pieces = tokens.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    # Hashes that all want one place, the last one of the table included, and enough to let it grow.
+    hashes = np.concatenate([np.arange(1, 300, dtype=np.uint64) << np.uint64(40) | np.uint64(low) for low in (0, 7, (1 << 17) - 1)])
+    pieces.add(hashes, ["a"] * len(hashes))
+    assert pieces.find(hashes).tolist() == list(range(len(hashes)))
+    more = common.mix64(np.arange(100_000, dtype=np.uint64))
+    pieces.add(more, ["b"] * len(more))
+    assert len(pieces.table) >= 2 * pieces.n
+    assert pieces.find(np.concatenate([more, hashes])).tolist() == [*range(len(hashes), pieces.n), *range(len(hashes))]
+    assert (pieces.find(common.mix64(np.arange(100_000, 101_000, dtype=np.uint64))) == -1).all()
+
+
 def test_ngram_join_writes_and_shuffles_no_text_for_candidates(spark):
     docs = spark.createDataFrame([(i, 0, words(random.Random(i), 30)) for i in range(200)], "doc_id long, v int, text string")
     reps = docs.where("doc_id % 20 = 0").select("doc_id", "v")
